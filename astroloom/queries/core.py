@@ -20,7 +20,8 @@ def p1_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records of one object and quantity that contradict each other by more than 5 per cent."""
-    return conflicting_pairs(p1_converted(spark, sf_dir), ["run_id", "snap_id", "object_id", "quantity"], "rec_id", "code_value", 0.05)
+    values = cut(p1_converted(spark, sf_dir).where(F.col("code_value").isNotNull()), "values")
+    return conflicting_pairs(values, ["run_id", "snap_id", "object_id", "quantity"], "rec_id", "code_value", 0.05)
 
 
 def _forest(spark: SparkSession, sf_dir: str):
