@@ -68,6 +68,30 @@ def order_blocks(hot: DataFrame, keys: list[str], order: list[str], heavy: DataF
     return placed.withColumn("__block", (F.col("__upper") * NEST + F.greatest(inner, F.lit(0))).cast("long")).drop("__nests", "__upper")
 
 
+def running_sums(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], share: float | None = None, sample: int = SAMPLE) -> DataFrame:
+    """``rows`` with running sums of ``values`` per key in the given order, named by the keys of the mapping.
+
+    ``order`` names columns that are unique together within a key (the last one is an identifier); nulls come first.
+    Keys must not be null. Heavy keys are cut into ordered blocks: sums of whole blocks are made first and
+    added to the running sums inside each block, so no task sorts more than a block.
+    """
+    ident = order[-1]
+    named = cut(rows.withColumns({f"__{n}": v for n, v in values.items()}), "ordered")
+    heavy = cut(heavy_keys(named, keys, ident, share, sample), "heavy")
+    hot, cold = split_heavy(named, keys, heavy)
+    along = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    light = cold.withColumns({n: F.sum(f"__{n}").over(along) for n in values})
+    blocked = order_blocks(hot, keys, order, heavy, named.count())
+    sums = blocked.groupBy(*keys, "__block").agg(*[F.sum(f"__{n}").alias(f"__of_{n}") for n in values])
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sums.select(*keys, "__block", *[F.coalesce(F.sum(f"__of_{n}").over(before), F.lit(0.0)).alias(f"__ahead_{n}") for n in values])
+    inside = Window.partitionBy(*keys, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # a few blocks per heavy key, bounded as the order points are
+    full = blocked.withColumns({f"__in_{n}": F.sum(f"__{n}").over(inside) for n in values}).join(F.broadcast(ahead), [*keys, "__block"])
+    full = full.withColumns({n: F.col(f"__ahead_{n}") + F.col(f"__in_{n}") for n in values})
+    return light.unionByName(full.select(*light.columns)).drop(*[f"__{n}" for n in values])
+
+
 def first_reaching(rows: DataFrame, keys: list[str], order: list[str], value: str, fraction: float = 0.5, share: float | None = None, sample: int = SAMPLE) -> DataFrame:
     """Per key, in the given order, the first row at which the running sum of ``value`` reaches ``fraction`` of the key's sum.
 
@@ -106,12 +130,13 @@ def first_reaching(rows: DataFrame, keys: list[str], order: list[str], value: st
     return light.unionByName(found)
 
 
-def skew_join(big: DataFrame, small: DataFrame, keys: list[str], sample_on: str, share: float | None = None, sample: int = SAMPLE) -> DataFrame:
+def skew_join(big: DataFrame, small: DataFrame, keys: list[str], sample_on: str, share: float | None = None, sample: int = SAMPLE, heavy: DataFrame | None = None) -> DataFrame:
     """Inner equi-join of ``big`` with ``small`` (at most one row per key) that no heavy key of ``big`` can unbalance.
 
     Heavy keys meet their rows of ``small`` by broadcast, at most 1 / share rows; the others by an ordinary shuffle.
+    ``heavy`` may be given where it is known already.
     """
-    heavy = cut(heavy_keys(big, keys, sample_on, share, sample), "heavy")
+    heavy = heavy if heavy is not None else cut(heavy_keys(big, keys, sample_on, share, sample), "heavy")
     hot, cold = split_heavy(big, keys, heavy)
     few = small.join(F.broadcast(heavy.select(*keys)), keys, "left_semi")
     return cold.join(small, keys).unionByName(hot.join(F.broadcast(few), keys))
