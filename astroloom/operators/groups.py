@@ -214,15 +214,16 @@ def profiles(placed: DataFrame, keys: list[str], quantiles: dict[str, float], ov
     run = running_sums(rows, keys, ["r", "pidx"], {"enclosed": F.col("mass")})
     totals = rows.groupBy(*keys).agg(F.sum("mass").alias("total"))
     run = skew_join(run, totals, keys, "pidx")
-    speed = F.sqrt(G_VCIRC * F.col("enclosed") / (F.col("r") * scale_factor))
+    outside = F.when(F.col("r") > 0, F.col("r"))
+    speed = F.sqrt(G_VCIRC * F.col("enclosed") / (outside * scale_factor))
     columns = [F.max("r").alias("radius_max")]
     for name, q in quantiles.items():
         columns.append(F.min(F.when((F.col("total") > 0) & (F.col("enclosed") >= F.lit(q) * F.col("total")), F.col("r"))).alias(f"radius_{name}"))
-    density = F.col("enclosed") / (4 / 3 * math.pi * F.col("r") * F.col("r") * F.col("r"))
+    density = F.col("enclosed") / (4 / 3 * math.pi * outside * outside * outside)
     for name, factor in (overdensities or {}).items():
         columns.append(F.max(F.when((F.col("r") > 0) & (density >= factor * rhocrit), F.struct("r", "enclosed"))).alias(f"__{name}"))
     columns.append(F.max(F.when(F.col("r") > 0, F.struct(speed.alias("v"), (-F.col("r")).alias("r")))).alias("__peak"))
-    out = run.withColumn("r", F.col("r")).groupBy(*keys).agg(*[c for c in columns])
+    out = run.groupBy(*keys).agg(*columns)
     for name in overdensities or {}:
         out = out.withColumns({f"r{name}": F.col(f"__{name}.r"), f"m{name}": F.col(f"__{name}.enclosed")}).drop(f"__{name}")
     return out.withColumns({"vmax": F.col("__peak.v"), "rmax": -F.col("__peak.r")}).drop("__peak")

@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from astroloom.functions.physics import cubic_spline_weight, min_image
-from astroloom.operators.membership import size_labels
+from astroloom.operators.membership import number_rows, size_labels
 from astroloom.tables import cut, drop_cut
 
 AXES = ("x", "y", "z")
+#: Up to so many edges are resolved in one task; more take distributed rounds.
+SMALL_EDGES = 200_000
 #: Points of one cell that meet the points of another in one task at most.
 CELL_BLOCK = 8192
 
@@ -44,11 +46,11 @@ def _around(df: DataFrame, side: float, box: float | None, reach: int = 1) -> Da
     """``df`` repeated for the cells around its own, each once, even in boxes of few cells."""
     n = None if box is None else max(1, int(box / side))
     for c in AXES:
-        steps = F.sequence(F.lit(-reach), F.lit(reach))
+        steps, own = F.sequence(F.lit(-reach), F.lit(reach)), F.col(f"i{c}")
         if n is not None:
-            cells = F.array_distinct(F.transform(steps, lambda d, c=c: F.pmod(F.col(f"i{c}") + d, F.lit(n))))
+            cells = F.array_distinct(F.transform(steps, lambda d: F.pmod(own + d, F.lit(n))))  # noqa: B023
         else:
-            cells = F.transform(steps, lambda d, c=c: F.col(f"i{c}") + d)
+            cells = F.transform(steps, lambda d: own + d)  # noqa: B023
         df = df.withColumn(f"i{c}", F.explode(cells))
     return df
 
@@ -80,17 +82,38 @@ def nearest_label(points: DataFrame, labelled: DataFrame, radius: float, box: fl
     return points.select("pidx").join(best, "pidx", "left").withColumn(label, F.coalesce(label, F.lit(-1)))
 
 
+def _union(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Smallest end of each component for all ends of the edges."""
+    ends, flat = np.unique(pdf[["a", "b"]].to_numpy().ravel(), return_inverse=True)
+    a, b = flat[0::2], flat[1::2]
+    low = np.arange(len(ends))
+    while True:
+        before = low.copy()
+        least = np.minimum(low[a], low[b])
+        np.minimum.at(low, low[a], least)
+        np.minimum.at(low, low[b], least)
+        np.minimum.at(low, a, least)
+        np.minimum.at(low, b, least)
+        low = low[low]
+        if (low == before).all():
+            return pd.DataFrame({"id": ends, "up": ends[low]})
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id of each node's component.
 
-    ``edges`` (a, b) in any direction, repeated or reflexive; ends without a node are ignored. Rounds of hooking to
+    ``edges`` (a, b) in any direction, repeated or reflexive; ends without a node join others but get no row. Rounds of hooking to
     the smallest neighbour's root and pointer jumping; the number of rounds grows with the logarithm of the
     size. Edges whose ends share a root leave the table, so later rounds touch only what is still open. A node of
     many edges is no problem: neighbours' minima are taken with map-side sums.
     """
     state = cut(nodes.select(F.col("id").cast("long")).distinct().withColumn("root", F.col("id")), "components")
     open_ = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), "edges")
-    while not open_.isEmpty():
+    while count := open_.count():
+        if count <= SMALL_EDGES:
+            jump = open_.groupBy(F.lit(0)).applyInPandas(_union, "id long, up long")
+            up = jump.select(F.col("id").alias("root"), "up")
+            return cut(state.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root")), "components")
         # contract to roots: parallel edges merge, inner edges vanish
         both = open_.unionByName(open_.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = cut(both.groupBy("a").agg(F.min("b").alias("b")).where("b < a"), "hooks")
@@ -219,8 +242,6 @@ def find_galaxies(points: DataFrame, halo: str, length: float, factor: float = 1
     roots = connected_components(searched.select(F.col("pidx").alias("id")), links.select("a", "b")).withColumnRenamed("id", "pidx")
     rooted = cut(searched.select("pidx", "ptype", halo, "halo_n").join(roots, "pidx"), "rooted")
     groups = rooted.groupBy("root").agg(F.count(F.when(F.col("ptype") == "star", 1)).alias("stars"), F.count(F.when(F.col("ptype") == "gas", 1)).alias("gas"), F.first("halo_n").alias("halo_n"), F.first(halo).alias(halo))
-    from astroloom.operators.membership import number_rows
-
     good = number_rows(groups.where((F.col("stars") >= min_stars) & (F.col("gas") >= min_gas)), [F.desc("halo_n"), F.asc(halo), F.asc("root")], "galaxy")
     out = rooted.join(good.select("root", "galaxy"), "root", "left")
     return points.select("pidx").join(out.select("pidx", "root", "galaxy"), "pidx", "left").withColumn("galaxy", F.coalesce("galaxy", F.lit(-1)))
