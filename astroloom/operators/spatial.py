@@ -21,6 +21,8 @@ from astroloom.tables import cut, drop_cut
 AXES = ("x", "y", "z")
 #: Up to so many edges are resolved in one task; more take distributed rounds.
 SMALL_EDGES = 200_000
+#: Cell pairs of up to so many point pairs are compared by a join, larger ones block by block with an early end.
+SMALL_PAIRS = 4096
 #: Points of one cell that meet the points of another in one task at most.
 CELL_BLOCK = 8192
 
@@ -111,7 +113,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     open_ = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), "edges")
     while count := open_.count():
         if count <= SMALL_EDGES:
-            jump = open_.groupBy(F.lit(0)).applyInPandas(_union, "id long, up long")
+            jump = open_.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_union, "id long, up long")
             up = jump.select(F.col("id").alias("root"), "up")
             return cut(state.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root")), "components")
         # contract to roots: parallel edges merge, inner edges vanish
@@ -195,7 +197,10 @@ def friends_of_friends(points: DataFrame, length: float, box: float, least: int
     near = near.where(square(gaps) <= length * length * (1 + slack)).withColumn("sure", square(spans) <= length * length * (1 - slack))
     near = cut(near.select(F.col("cell").alias("a"), F.col("other").alias("b"), "n", "n2", "sure"), "near")
     sure = near.where("sure").select("a", "b")
-    asked = near.where("not sure").withColumns({"ba": F.explode(F.expr(f"sequence(0, cast(ceil(n / {CELL_BLOCK}) as int) - 1)")), "na": F.ceil(F.col("n") / CELL_BLOCK).cast("int"), "nb": F.ceil(F.col("n2") / CELL_BLOCK).cast("int")})
+    few = near.where(f"not sure and n * n2 <= {SMALL_PAIRS}").select("a", "b")
+    point = lambda p: good.select(F.col("cell").alias(p), *[F.col(c).alias(f"{p}{c}") for c in AXES])
+    few = few.join(point("a"), "a").join(point("b"), "b").where(distance2("a", "b", box) <= length * length).select("a", "b").distinct()
+    asked = near.where(f"not sure and n * n2 > {SMALL_PAIRS}").withColumns({"ba": F.explode(F.expr(f"sequence(0, cast(ceil(n / {CELL_BLOCK}) as int) - 1)")), "na": F.ceil(F.col("n") / CELL_BLOCK).cast("int"), "nb": F.ceil(F.col("n2") / CELL_BLOCK).cast("int")})
     asked = asked.withColumn("bb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("a", "b", "ba", "bb", "na", "nb")
     block = lambda k: F.pmod(F.xxhash64("pidx"), F.col(k)).cast("int")
     side_a = asked.join(good.select(F.col("cell").alias("a"), "pidx", *AXES), "a").where(F.col("ba") == block("na"))
@@ -203,7 +208,7 @@ def friends_of_friends(points: DataFrame, length: float, box: float, least: int
     key = ["a", "b", "ba", "bb"]
     side_a, side_b = (s.select(*[F.col(c).alias(c) for c in (*key, *AXES)]) for s in (side_a, side_b))
     tested = side_a.groupBy(*key).cogroup(side_b.groupBy(*key)).applyInPandas(_touch(length, box), "a long, b long")
-    roots = connected_components(cells.select(F.col("cell").alias("id")), sure.unionByName(tested))
+    roots = connected_components(cells.select(F.col("cell").alias("id")), sure.unionByName(few).unionByName(tested))
     joined = cut(good.select("pidx", "cell").join(roots.withColumnRenamed("id", "cell"), "cell"), "rooted")
     labels = size_labels(joined, "root", "pidx", least)
     return joined.join(labels.select("root", "first", "label"), "root").select("pidx", F.col("first").alias("root"), "label")

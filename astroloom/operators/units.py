@@ -5,10 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from astroloom.functions.units import parse_unit, split_raw
 
-_PARSED = "value double, log_cgs double, a_power double, h_power double"
+_PARSED = T.StructType([T.StructField(name, T.DoubleType()) for name in ("value", "log_cgs", "a_power", "h_power")])
 
 
 @F.pandas_udf(_PARSED)
