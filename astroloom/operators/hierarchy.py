@@ -35,26 +35,28 @@ def _edges(rows: DataFrame, id_column: str, parent_column: str, top: int | None)
     return rows.join(known, rows.parent == known.known, "left").select("id", "parent", F.col("known").alias("up"))
 
 
+def _double(state: DataFrame) -> DataFrame:
+    """One step of pointer doubling: counts move up to the pointers' targets, pointers to their targets' pointers."""
+    added = state.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("added"))
+    counted = state.join(added, "id", "left").withColumn("size", F.col("size") + F.coalesce("added", F.lit(0))).drop("added")
+    target = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"), F.col("last").alias("last2"))
+    return counted.join(target, "up", "left").select(
+        "id", "parent", F.col("up2").alias("up"), F.coalesce("last", "last2").alias("last"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), "size",
+    )
+
+
 def _climb(edges: DataFrame) -> tuple[DataFrame, bool]:
     """Pointer doubling: root, distance to it and subtree size of every node; the rest runs in circles.
 
     State: ``up`` is the ancestor 2^k links above (null once the root is reached), ``dist`` the links counted so
-    far, ``last`` the root, ``size`` the descendants nearer than 2^k links, the node itself included. A round adds
-    to every node the counts of the nodes that point to it and moves each pointer to its target's pointer. The
-    nodes whose pointer is set are those deeper than 2^k. If a round leaves their number as it was, no node has a
-    depth in (2^k, 2^(k+1)], so none is deeper, and all that remain run in circles.
+    far, ``last`` the root, ``size`` the descendants nearer than 2^k links, the node itself included. Two steps
+    are made before the state is written. The nodes whose pointer is set are those deeper than 2^k. If a round leaves
+    their number as it was, no node has a depth in (2^k, 2^(k+2)], so none is deeper, and all that remain run in circles.
     """
     state = cut(edges.select("id", "parent", "up", F.when(F.col("up").isNull(), F.col("id")).alias("last"), F.when(F.col("up").isNull(), F.lit(0)).otherwise(1).cast("long").alias("dist"), F.lit(1).cast("long").alias("size")), "climb")
     active = state.where("up is not null").count()
     while active:
-        moving = state.where("up is not null")
-        added = moving.groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("added"))
-        counted = state.join(added, "id", "left").withColumn("size", F.col("size") + F.coalesce("added", F.lit(0))).drop("added")
-        target = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"), F.col("last").alias("last2"))
-        moved = counted.join(target, "up", "left").select(
-            "id", "parent", F.col("up2").alias("up"), F.coalesce("last", "last2").alias("last"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), "size",
-        )
-        before, state = state, cut(moved, "climb")
+        before, state = state, cut(_double(_double(state)), "climb")
         drop_cut(before)
         left, active = active, state.where("up is not null").count()
         if left == active:
