@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from astroloom.llm.text import spread
 from astroloom.tables import cut
 
 CAPACITY = 2048
@@ -41,7 +42,7 @@ def count_tokens(df: DataFrame, text: str, path: str = VOCABULARY, name: str = "
         encode = tokenizer(path).encode_ordinary
         return pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int32")
 
-    return df.withColumn(name, tokens(text))
+    return spread(df).withColumn(name, tokens(text))
 
 
 def fill(sizes: list[tuple[int, int]], capacity: int) -> list[list[int]]:

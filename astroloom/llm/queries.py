@@ -27,8 +27,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The probable parts only: ten near points of every row whose key is divisible by 20."""
-    found = knn.nearest(_phase_space(spark, sf_dir), "write_key", ["run_id"], _vector(), F.col("write_key") % 20 == 0, 10, complete=False)
+    """The probable parts only: ten near points of each black hole. (No valid key is divisible by 20.)"""
+    found = knn.nearest(_phase_space(spark, sf_dir), "write_key", ["run_id"], _vector(), F.col("ptype_code") == 5, 10, complete=False)
     return found.select(F.col("id").alias("write_key"), F.col("near").alias("near_key"), "rank", "distance")
 
 

@@ -6,6 +6,8 @@ import html
 import re
 import unicodedata
 
+from pyspark.sql import DataFrame
+
 # Letters of other alphabets that look like Latin ones.
 _LOOKALIKE = str.maketrans("аеорсухіјѕԁһԛԝвкмнтαοειυνρτκ", "aeopcyxijsdhqwbkmhtaoeiuvptk")
 _TAG = re.compile(r"<[^<>]{0,300}>")
@@ -58,3 +60,9 @@ def fold(text: str) -> str:
 def words(text: str) -> list[str]:
     """Words of letters; every letter outside the Latin alphabet counts as a word. Digits are left out."""
     return _WORD.findall(fold(text))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it comes in fewer input splits than there are; large inputs stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from astroloom.operators.skew import heavy_keys
-from astroloom.tables import cut, drop_cut
+from astroloom.tables import cut
 
 #: Levels of bisection per pass over the rows: each pass counts rows above 2^LEVELS - 1 midpoints.
-LEVELS = 4
+LEVELS = 6
 
 
 def order_code(score: Column) -> Column:
@@ -44,16 +44,16 @@ def _bisect(rows: DataFrame, groups: list[str], need: DataFrame, code: str, hot:
     parts = 2**LEVELS
     while True:
         step = F.greatest(F.lit(1), F.shiftright("high", LEVELS) - F.shiftright("low", LEVELS))
-        state = cut(need.select(*groups, "wanted", "low", "high", F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda k: F.col("low") + k * step).alias("mids"), step.alias("step")), "cutoffs")
-        if state.isEmpty():
+        if need.isEmpty():
             break
+        state = need.select(*groups, "wanted", "low", "high", F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda k: F.col("low") + k * step).alias("mids"), step.alias("step"))
         hot_state = F.broadcast(state.join(F.broadcast(hot), groups, "left_semi"))
         placed = rows.where("__hot").join(hot_state, groups).unionByName(rows.where("not __hot").join(state, groups))
         placed = placed.withColumn("section", F.size(F.filter("mids", lambda m: m <= F.col(code)))).drop("mids")
         counts = placed.groupBy(*groups, "section").agg(F.count(F.lit(1)).alias("n"), F.first("wanted").alias("wanted"), F.min(code).alias("least"), F.max(code).alias("most"))
         above = Window.partitionBy(*groups).orderBy(F.desc("section")).rowsBetween(Window.unboundedPreceding, 0)
         counts = counts.withColumn("running", F.sum("n").over(above)).where("running >= wanted and running - n < wanted")
-        verdict = cut(counts.select(*groups, F.col("section").alias("at"), (F.col("wanted") - F.col("running") + F.col("n")).alias("still"), "n", "least", "most"), "verdict")
+        verdict = counts.select(*groups, F.col("section").alias("at"), (F.col("wanted") - F.col("running") + F.col("n")).alias("still"), "n", "least", "most")
         hot_verdict = F.broadcast(verdict.join(F.broadcast(hot), groups, "left_semi"))
         slim = placed.drop("wanted", "low", "high", "step")
         judged = slim.where("__hot").join(hot_verdict, groups).unionByName(slim.where("not __hot").join(verdict, groups))
@@ -61,13 +61,12 @@ def _bisect(rows: DataFrame, groups: list[str], need: DataFrame, code: str, hot:
         judged = cut(judged.drop("section", "at", "n", "least", "most"), "judged")
         accepted.append(judged.where("fate = 1").drop("fate", "still"))
         tied.append(judged.where("fate = 2").drop("fate"))
-        rows = judged.where("fate = 3").drop("fate", "still")
-        need = verdict.where("still < n and least < most").select(*groups, F.col("still").alias("wanted"), F.col("least").alias("low"), F.col("most").alias("high"))
-        drop_cut(state)
-    union = lambda parts: parts[0].unionByName(_union(parts[1:])) if len(parts) > 1 else parts[0]
+        left = judged.where("fate = 3").drop("fate")
+        rows = left.drop("still")
+        need = left.groupBy(*groups).agg(F.first("still").alias("wanted"), F.min(code).alias("low"), F.max(code).alias("high"))
     if not accepted:
         return rows.limit(0), rows.limit(0).withColumn("still", F.lit(0).cast("long"))
-    return union(accepted), union(tied)
+    return _union(accepted), _union(tied)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -101,7 +100,7 @@ def top_n(items: DataFrame, groups: list[str], ident: str, score: str, n: int =
     accepted, tied = _bisect(marked, groups, need, "__code", hot)
     flat = marked.where("not __hot").join(level, groups).unionByName(marked.where("__hot").join(F.broadcast(level.join(F.broadcast(hot), groups, "left_semi")), groups))
     tied = cut(tied.unionByName(flat), "tied")
-    ids = tied.groupBy(*groups).agg(F.first("still").alias("wanted"), F.min("__back").alias("low"), F.max("__back").alias("high"))
+    ids = cut(tied.groupBy(*groups).agg(F.first("still").alias("wanted"), F.min("__back").alias("low"), F.max("__back").alias("high")), "ids")
     by_id, rest = _bisect(tied.drop("still"), groups, ids, "__back", hot)
     # rows equal in score and identifier: any of them
     twin = Window.partitionBy(*groups).orderBy("__id")
