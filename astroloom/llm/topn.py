@@ -46,7 +46,10 @@ def _bisect(rows: DataFrame, groups: list[str], need: DataFrame, code: str, hot:
         step = F.greatest(F.lit(1), F.shiftright("high", LEVELS) - F.shiftright("low", LEVELS))
         if need.isEmpty():
             break
-        state = need.select(*groups, "wanted", "low", "high", F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda k: F.col("low") + k * step).alias("mids"), step.alias("step"))
+        # equal steps; over very wide ranges as weighted means, which cannot overflow
+        mean = lambda k: F.shiftright("low", LEVELS) * (parts - k) + F.shiftright("high", LEVELS) * k
+        mids = F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda k: F.when(step < 2**56, F.col("low") + k * step).otherwise(mean(k)))
+        state = need.select(*groups, "wanted", "low", "high", mids.alias("mids"), step.alias("step"))
         hot_state = F.broadcast(state.join(F.broadcast(hot), groups, "left_semi"))
         placed = rows.where("__hot").join(hot_state, groups).unionByName(rows.where("not __hot").join(state, groups))
         placed = placed.withColumn("section", F.size(F.filter("mids", lambda m: m <= F.col(code)))).drop("mids")
