@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astroloom.functions.physics import C_KMS, Cosmology, simpson
@@ -227,7 +227,27 @@ def build_lightcone(
     return reduce(DataFrame.unionByName, parts)
 
 
+FORMAT_VERSION = 1
+
+
 def write_lightcone(objects: DataFrame, path: str, overwrite: bool = False) -> None:
     """Range-partitioned by distance and sorted within, so files follow each other in order."""
+    mode = "overwrite" if overwrite else "errorifexists"
     ordered = objects.repartitionByRange("comoving_distance").sortWithinPartitions("comoving_distance", "ra", "dec")
-    ordered.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+    ordered.write.mode(mode).parquet(f"{path}/objects.parquet")
+    objects.sparkSession.createDataFrame([(FORMAT_VERSION,)], "version int").coalesce(1).write.mode(mode).parquet(f"{path}/metadata.parquet")
+
+
+class Lightcone:
+    """A written lightcone; refuses formats newer than its own."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        if spark.read.parquet(f"{path}/metadata.parquet").first()["version"] > FORMAT_VERSION:
+            raise ValueError("the lightcone has a newer format")
+        self.objects = spark.read.parquet(f"{path}/objects.parquet")
+
+    def get(self, *names: str, a_exponents: dict[str, int] | None = None) -> DataFrame:
+        """Columns by distance; those with a power of a become physical with each object's own scale factor."""
+        a = 1 / (1 + F.col("snapshot_redshift"))
+        powers = a_exponents or {}
+        return self.objects.orderBy("comoving_distance").select(*[(F.col(n) * F.pow(a, F.lit(float(powers[n])))).alias(n) if powers.get(n) else F.col(n) for n in names])

@@ -12,6 +12,7 @@ from astroloom.operators.spatial import friends_of_friends, linking_length, near
 from astroloom.plans.catalogue import Catalogue
 from astroloom.plans.config import RunConfig
 from astroloom.plans.pipeline import Run, analyse_to
+from astroloom.plans.runlog import RunLog, warn_if_dominant
 from astroloom.session import build_session
 from astroloom.sources.formats import open_snapshot
 from astroloom.sources.halo_sources import choose_source
@@ -66,6 +67,8 @@ def with_haloes(particles, snapshot, config: RunConfig):
     dm = particles.where("ptype = 'dm'")
     length = linking_length(dm.count(), snapshot.header.boxsize, config.halo_b)
     labels = cut(friends_of_friends(dm, length, snapshot.header.boxsize, config.min_dm_per_halo), "labels")
+    largest = labels.where("label = 0").count()  # labels count down from the largest halo
+    warn_if_dominant(largest, labels.count())
     linked = dm.select("pidx", "x", "y", "z").join(labels.where("label >= 0").select("pidx", "label"), "pidx")
     attach = config.halo_attach_ptypes or ("gas", "star", "bh")
     near = nearest_label(particles.where(F.col("ptype").isin(*attach)), linked, length, snapshot.header.boxsize)
@@ -97,9 +100,15 @@ def main(arguments: list[str] | None = None) -> None:
     spark = build_session()
     if args.command == "analyse":
         config = RunConfig.from_yaml(args.config)
-        snapshot = open_snapshot(spark, config.snapshot_path, config.simulation_type)
-        particles = with_haloes(cut(load_particles(snapshot, config), "particles"), snapshot, config)
-        analyse_to(Run(particles, snapshot.header, config), config.output_dir, args.overwrite)
+        log = RunLog()
+        with log.timer("read"):
+            snapshot = open_snapshot(spark, config.snapshot_path, config.simulation_type)
+            particles = cut(load_particles(snapshot, config), "particles")
+        with log.timer("haloes"):
+            particles = cut(with_haloes(particles, snapshot, config), "particles")
+        with log.timer("analysis"):
+            analyse_to(Run(particles, snapshot.header, config), config.output_dir, args.overwrite)
+        print(log.summary())
         return
     from astroloom.functions.physics import Cosmology
 
