@@ -117,7 +117,7 @@ def main(arguments: list[str] | None = None) -> None:
         c = Catalogue(spark, path)
         h = c.header
         scale = 1e-3  # kpc to Mpc
-        objects = c.galaxies.df.select("row", "mass_baryon", *[(F.col(f"com_{a}_baryon") * scale).alias(a) for a in "xyz"], *[F.col(f"com_v{a}_baryon").alias(f"v{a}") for a in "xyz"])
+        objects = c.galaxies.df.select("row", "mass_baryon", *[(F.get("com_pos_baryon", F.lit(i)) * scale).alias(a) for i, a in enumerate("xyz")], *[F.get("com_vel_baryon", F.lit(i)).alias(f"v{a}") for i, a in enumerate("xyz")])
         shots.append(Snapshot(objects, h["redshift"], h["boxsize"] * scale, Cosmology(h["h"], h["omega_matter"], h["omega_lambda"], h["w_0"], h["w_a"])))
     out = build_lightcone(shots, args.area, args.z_min, args.z_max, args.shape, seed=args.seed, redshift_space=args.redshift_space)
     write_lightcone(out, args.output, args.overwrite)

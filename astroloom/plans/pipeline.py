@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from astroloom.functions.physics import Header, eddington_factor, gas_criterion, hydrogen_number_density, unwrap
@@ -30,40 +30,82 @@ class Run:
     subhaloes: DataFrame | None = None
 
 
+_TENSOR = (("xx", "xy", "xz"), ("xy", "yy", "yz"), ("xz", "yz", "zz"))
+
+
+def _vector(columns: list[str]) -> Column:
+    return F.when(F.col(columns[0]).isNotNull(), F.array(*columns))
+
+
+def _dynamics(df: DataFrame, keys: list[str], kind: str) -> DataFrame:
+    """Angular momentum, its angles, dispersion and inertia tensor under the names of the catalogue."""
+    tensor = F.when(F.col("ixx").isNotNull(), F.array(*[F.array(*[f"i{a}" for a in row]) for row in _TENSOR]))
+    return df.select(
+        *keys, _vector(["lx", "ly", "lz"]).alias(f"L_{kind}"), F.col("l_azimuth").alias(f"L_azimuth_{kind}"), F.col("l_elevation").alias(f"L_elevation_{kind}"),
+        F.col("sigma").alias(f"velocity_dispersion_{kind}"), tensor.alias(f"inertia_tensor_{kind}"),
+    )
+
+
 def core_properties(members: DataFrame, keys: list[str], header: Header, config: RunConfig, kind: str = "haloes") -> DataFrame:
-    """Counts, masses, centres, kinematics, radii and, for haloes, overdensities and scales."""
+    """Counts, masses, centres, kinematics and radii per type and combined; for haloes overdensities and scales, for galaxies morphology.
+
+    Columns have the declared names. A type that a group lacks has null kinematics and radii; one with fewer than
+    three members has zeros.
+    """
     box = header.boxsize
-    members = cut(members.select(*keys, "ptype", "pidx", *G.AXES, *[f"v{c}" for c in G.AXES], "mass", "potential"), "members")
-    out = G.counts_and_masses(members, keys)
+    types = G.PTYPE_ORDER if kind == "haloes" else G.BARYONS
+    members = cut(members.where(F.col("ptype").isin(*types)).select(*keys, "ptype", "pidx", *G.AXES, *[f"v{c}" for c in G.AXES], "mass", "potential"), "members")
+    out = G.counts_and_masses(members, keys).drop("n_baryon", "n_total")
     parts = cut(G.centre_of_mass(members, [*keys, "ptype"], box), "centres")
     kinds = {"baryon": G.BARYONS, **({"total": G.PTYPE_ORDER} if kind == "haloes" else {})}
     centres = {}
-    for name, types in kinds.items():
-        centres[name] = cut(G.combine_centres(parts.where(F.col("ptype").isin(*types)), keys, box), "centre")
-        out = out.join(centres[name].select(*keys, *[F.col(f"c{c}").alias(f"com_{c}_{name}") for c in G.AXES], *[F.col(f"cv{c}").alias(f"com_v{c}_{name}") for c in G.AXES]), keys, "left")
-    lowest = cut(G.minimum_potential(members, keys), "lowest")
+    for name, chosen in kinds.items():
+        centres[name] = cut(G.combine_centres(parts.where(F.col("ptype").isin(*chosen)), keys, box), "centre")
+        out = out.join(centres[name].select(*keys, _vector([f"c{c}" for c in G.AXES]).alias(f"com_pos_{name}"), _vector([f"cv{c}" for c in G.AXES]).alias(f"com_vel_{name}")), keys, "left")
+    if kind == "haloes":
+        lowest = cut(G.minimum_potential(members, keys), "lowest")
+        out = out.join(lowest.select(*keys, _vector([f"m{c}" for c in G.AXES]).alias("minpot_pos"), _vector([f"mv{c}" for c in G.AXES]).alias("minpot_vel")), keys, "left")
     if kind == "haloes" and config.halo_centre == "MIN_POT":
         place = lowest.select(*keys, *[F.col(f"m{c}").alias(f"r{c}") for c in G.AXES], *[F.col(f"mv{c}").alias(f"rv{c}") for c in G.AXES])
-        out = out.join(lowest.drop("minpot_pidx"), keys, "left")
     else:
         main = centres["total" if kind == "haloes" else "baryon"]
         place = main.select(*keys, *[F.col(f"c{c}").alias(f"r{c}") for c in G.AXES], *[F.col(f"cv{c}").alias(f"rv{c}") for c in G.AXES])
     sums = cut(G.kinematics(members, [*keys, "ptype"], place, box), "kinematics")
-    for name, types in kinds.items():
+    derived = cut(G.derive_kinematics(sums), "kinematics")
+    for ptype in types:
+        few = [F.when(F.col("n") < 3, F.lit(0.0)).otherwise(F.col(f"i{a}")).alias(f"i{a}") for a in ("xx", "yy", "zz", "xy", "xz", "yz")]
+        own = derived.where(F.col("ptype") == ptype).select(*keys, "lx", "ly", "lz", "l_azimuth", "l_elevation", "sigma", *few)
+        out = out.join(_dynamics(own, keys, ptype), keys, "left")
+    whole = {}
+    for name, chosen in kinds.items():
         relative = centres[name].join(place.select(*keys, *[f"rv{c}" for c in G.AXES]), keys).select(*keys, *[(F.col(f"cv{c}") - F.col(f"rv{c}")).alias(f"cv{c}") for c in G.AXES])
-        whole = G.combine_types(sums, keys, relative, types)
+        whole[name] = cut(G.combine_types(sums, keys, relative, chosen), "combined")
+        angles = G.derive_kinematics(whole[name], 0).drop("sigma").join(whole[name].select(*keys, "sigma"), keys)  # the combined dispersion stands for any count
+        out = out.join(_dynamics(angles, keys, name), keys, "left")
         if kind == "haloes" and name == "total":
-            whole = G.halo_scales(whole, header.r200_factor, header.scale_factor, config.MU)
-        out = out.join(whole.select(*keys, *[F.col(c).alias(f"{c}_{name}") if c not in ("r200m", "velocity_circular", "temperature_virial", "spin_param") else F.col(c) for c in whole.columns if c not in (*keys, "n", "mass")]), keys, "left")
+            scaled = G.halo_scales(whole[name], header.r200_factor, header.scale_factor, config.MU)
+            out = out.join(scaled.select(*keys, "r200m", "velocity_circular", "temperature_virial", "spin_param"), keys, "left")
     if kind == "galaxies":
-        axis = out.select(*keys, *[F.col(f"l{c}_baryon").alias(f"l{c}") for c in G.AXES]).join(place, keys)
-        turned = G.morphology(G.rotation(members.where(F.col("ptype").isin(*G.BARYONS)), keys, axis, box))
-        out = out.join(turned.select(*keys, F.col("b_over_t").alias("BoverT_baryon"), F.col("kappa_rot").alias("kappa_rot_baryon")), keys, "left")
+        axes = {"baryon": whole["baryon"].select(*keys, "lx", "ly", "lz"), **{p: derived.where(F.col("ptype") == p).select(*keys, "lx", "ly", "lz") for p in types}}
+        for name, axis in axes.items():
+            rows = members if name == "baryon" else members.where(F.col("ptype") == name)
+            turned = G.rotation(rows, keys, axis.join(place, keys), box)
+            if name == "baryon":
+                turned = turned.drop("ke").join(whole["baryon"].select(*keys, "ke"), keys)
+            turned = G.morphology(turned)
+            out = out.join(turned.select(*keys, F.col("b_over_t").alias(f"BoverT_{name}"), F.col("kappa_rot").alias(f"kappa_rot_{name}")), keys, "left")
     placed = cut(G.radii(members, keys, place.select(*keys, *[f"r{c}" for c in G.AXES]), box), "radii")
-    factors = {f"{f}c": float(f) for f in config.virial_factors} if kind == "haloes" else {}
-    name = "total" if kind == "haloes" else "baryon"
-    shape = G.profiles(placed, keys, config.radial_quantiles, factors, header.rhocrit_comoving, header.scale_factor)
-    return out.join(shape.withColumnsRenamed({c: f"{c}_{name}" for c in shape.columns if c.startswith("radius_")}), keys, "left")
+    per_type = cut(G.profiles(placed, [*keys, "ptype"], config.radial_quantiles), "profiles")
+    names = [c for c in per_type.columns if c.startswith("radius_")]
+    wide = [F.max(F.when(F.col("ptype") == p, F.col(c))).alias(f"{c}_{p}") for p in types for c in names]
+    out = out.join(per_type.groupBy(*keys).agg(*wide), keys, "left")
+    factors = {f"{f}c": float(f) for f in config.virial_factors}
+    for name, chosen in kinds.items():
+        full = name == "total"
+        shape = G.profiles(placed.where(F.col("ptype").isin(*chosen)), keys, config.radial_quantiles, factors if full else {}, header.rhocrit_comoving, header.scale_factor)
+        shape = shape if full else shape.drop("vmax", "rmax")
+        out = out.join(shape.withColumnsRenamed({c: f"{c}_{name}" for c in names}), keys, "left")
+    return cut(out, "core")
 
 
 def type_properties(members: DataFrame, keys: list[str], config: RunConfig, kind: str = "haloes") -> DataFrame:
@@ -126,7 +168,7 @@ def analyse(run: Run) -> tuple[DataFrame, DataFrame, DataFrame]:
     parents = parents.select("galaxy", "field", F.when(F.col("winner") >= 0, F.col("winner")).otherwise(F.col("field")).alias("parent"), F.when(F.col("winner") >= 0, F.col("fraction")).otherwise(F.lit(1).cast("float")).alias("parent_membership_fraction"))
     galaxies = galaxies.join(parents, "galaxy")
     if config.stages.get("properties_local_environment", True):
-        sites = galaxies.select(F.col("field").alias("halo_id"), "galaxy", *[F.col(f"com_{c}_baryon").alias(c) for c in G.AXES], F.col("mass_baryon").alias("mass"))
+        sites = galaxies.select(F.col("field").alias("halo_id"), "galaxy", *[F.get("com_pos_baryon", F.lit(i)).alias(c) for i, c in enumerate(G.AXES)], F.col("mass_baryon").alias("mass"))
         around = S.aperture_masses(sites, particles, ("halo_id",), "galaxy", {f"{r}kpc": float(r) for r in config.aperture_size}, header.boxsize)
         galaxies = galaxies.join(around.drop("halo_id"), "galaxy", "left")
         if config.distribute_halo_hydrogen:

@@ -135,6 +135,12 @@ def test_analysis_and_catalogue(spark, tmp_path):
     assert cat.subhaloes(chain[chain[top]]).count() == 2 and cat.subhaloes(top).count() == 0
     with pytest.raises(IndexError):
         cat.subhaloes(99)
+    declared = stages.declared_columns(stages.fill_lists())
+    known = {c for c in cat.haloes.keys() if c in declared}
+    core = {c for c, (stage, o) in declared.items() if stage == "properties_core" and "haloes" in o.groups}
+    assert core <= known, core - known
+    lacking = {c for c, (stage, o) in declared.items() if stage == "properties_core" and "galaxies" in o.groups and "dm" not in c and "total" not in c} - set(cat.galaxies.keys())
+    assert not lacking
     assert cat.haloes.units("mass_total") == "Msun" and not cat.haloes.is_comoving("mass_total") and cat.haloes.is_comoving("r200c")
     raw, physical = (cat.haloes.get("r200m", physical=p).first()["r200m"] for p in (False, True))
     assert physical == pytest.approx(raw * 0.25)
