@@ -79,10 +79,14 @@ def interval_lookup(rows: DataFrame, keys: list[str], at: str, starts: DataFrame
     return tagged.join(spans, on, "left").select(*[tagged[c] for c in rows.columns], *[spans[v] for v in values])
 
 
-def size_labels(members: DataFrame, root: str, pidx: str = "pidx", least: int = 1) -> DataFrame:
-    """(root, n, first, label): groups numbered by size descending, then smallest member; -1 for groups below ``least``."""
-    sizes = members.groupBy(root).agg(F.count(F.lit(1)).alias("n"), F.min(pidx).alias("first"))
-    big = number_rows(sizes.where(F.col("n") >= least), [F.desc("n"), F.asc("first")], "label")
+def size_labels(members: DataFrame, root: str, pidx: str = "pidx", least: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, root, n, first, label): groups numbered in every ``by`` by size descending, then smallest member; -1 for groups below ``least``."""
+    sizes = members.groupBy(*by, root).agg(F.count(F.lit(1)).alias("n"), F.min(pidx).alias("first"))
+    big = number_rows(sizes.where(F.col("n") >= least), [*[F.asc(c) for c in by], F.desc("n"), F.asc("first")], "label")
+    if by:
+        big = cut(big, "labels")
+        ahead = big.groupBy(*by).agg(F.min("label").alias("__ahead"))
+        big = big.join(ahead, list(by)).withColumn("label", F.col("label") - F.col("__ahead")).drop("__ahead")
     return big.unionByName(sizes.where(F.col("n") < least).withColumn("label", F.lit(-1).cast("long")))
 
 

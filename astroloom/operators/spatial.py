@@ -76,12 +76,12 @@ def pairs(points: DataFrame, radius: float, box: float | None = None, by: tuple[
     return within(points, points, radius, box, by).where("apidx < bpidx")
 
 
-def nearest_label(points: DataFrame, labelled: DataFrame, radius: float, box: float | None, label: str = "label") -> DataFrame:
-    """(pidx, label) of the nearest labelled point within ``radius``, ties by its smaller pidx; -1 where there is none."""
-    near = within(points.select("pidx", *AXES), labelled.select("pidx", *AXES, label), radius, box)
-    best = near.groupBy("apidx").agg(F.min(F.struct("d2", "bpidx", f"b{label}")).alias("best"))
-    best = best.select(F.col("apidx").alias("pidx"), F.col(f"best.b{label}").alias(label))
-    return points.select("pidx").join(best, "pidx", "left").withColumn(label, F.coalesce(label, F.lit(-1)))
+def nearest_label(points: DataFrame, labelled: DataFrame, radius: float, box: float | None, label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, pidx, label) of the nearest labelled point of the same ``by`` within ``radius``, ties by its smaller pidx; -1 where there is none."""
+    near = within(points.select(*by, "pidx", *AXES), labelled.select(*by, "pidx", *AXES, label), radius, box, by)
+    best = near.groupBy(*by, "apidx").agg(F.min(F.struct("d2", "bpidx", f"b{label}")).alias("best"))
+    best = best.select(*by, F.col("apidx").alias("pidx"), F.col(f"best.b{label}").alias(label))
+    return points.select(*by, "pidx").join(best, [*by, "pidx"], "left").withColumn(label, F.coalesce(label, F.lit(-1)))
 
 
 def _union(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -161,11 +161,11 @@ def _touch(length: float, box: float | None):
     return test
 
 
-def friends_of_friends(points: DataFrame, length: float, box: float, least: int = 20) -> DataFrame:
-    """(pidx, root, label): components of points linked by at most ``length`` in a periodic box.
+def friends_of_friends(points: DataFrame, length: float, box: float, least: int = 20, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, pidx, root, label): components of points of the same ``by`` linked by at most ``length`` in a periodic box.
 
-    Labels count from 0 by size descending, then smallest member; -1 below ``least`` members. Rows with null
-    coordinates get no row; an empty table gives an empty one.
+    Labels count from 0 in every ``by`` by size descending, then smallest member; -1 below ``least`` members. Rows with
+    null coordinates or ``by`` get no row; an empty table gives an empty one. ``pidx`` is unique over all ``by``.
 
     Cells are so small that all their points are linked, so cells are the nodes. Two occupied cells near each other
     are linked at once if their bounding boxes are wholly within reach, and never if the boxes are out of reach; only the
@@ -175,16 +175,18 @@ def friends_of_friends(points: DataFrame, length: float, box: float, least: int
     n = max(1, math.ceil(box * math.sqrt(3) / length))
     if n < 5:
         raise ValueError("the linking length is too large for the box")
-    good = points.select("pidx", *AXES).dropna()
+    good = points.select(*by, "pidx", *AXES).dropna()
     cell = [F.least(F.lit(n - 1), F.floor(F.pmod(F.col(c), F.lit(float(box))) * n / box)).cast("long") for c in AXES]
     good = cut(good.withColumns({c: F.pmod(F.col(c), F.lit(float(box))) for c in AXES}).withColumn("cell", (cell[0] * n + cell[1]) * n + cell[2]), "cells")
-    cells = cut(good.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("pidx").alias("first"), *[f(c).alias(f"{k}{c}") for c in AXES for f, k in ((F.min, "l"), (F.max, "h"))]), "cells")
+    # a cell goes by its smallest point from here on, so the cells of all groups are nodes of one graph
+    cells = cut(good.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("n"), F.min("pidx").alias("first"), *[f(c).alias(f"{k}{c}") for c in AXES for f, k in ((F.min, "l"), (F.max, "h"))]), "cells")
     reach = [s for s in itertools.product(range(-2, 3), repeat=3) if s > (0, 0, 0)]
     offsets = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(s, AXES)]) for s in reach])
+    good = cut(good.join(cells.select(*by, "cell", F.col("first").alias("node")), [*by, "cell"]).drop("cell"), "nodes")
     ix, iy, iz = F.floor(F.col("cell") / (n * n)), F.pmod(F.floor(F.col("cell") / n), F.lit(n)), F.pmod(F.col("cell"), F.lit(n))
     beside = cells.withColumn("s", F.explode(offsets)).withColumn("other", (F.pmod(ix + F.col("s.x"), F.lit(n)) * n + F.pmod(iy + F.col("s.y"), F.lit(n))) * n + F.pmod(iz + F.col("s.z"), F.lit(n)))
-    right = cells.select(F.col("cell").alias("other"), F.col("n").alias("n2"), *[F.col(f"{k}{c}").alias(f"{k}{c}2") for c in AXES for k in "lh"])
-    near = beside.drop("s").join(right, "other").where("cell <> other")
+    right = cells.select(*by, F.col("cell").alias("other"), F.col("n").alias("n2"), F.col("first").alias("b"), *[F.col(f"{k}{c}").alias(f"{k}{c}2") for c in AXES for k in "lh"])
+    near = beside.drop("s").join(right, [*by, "other"]).where("cell <> other")
     gaps, spans = [], []
     for c in AXES:
         middle = (F.col(f"l{c}") + F.col(f"h{c}") - F.col(f"l{c}2") - F.col(f"h{c}2")) / 2
@@ -195,23 +197,23 @@ def friends_of_friends(points: DataFrame, length: float, box: float, least: int
     square = lambda p: p[0] * p[0] + p[1] * p[1] + p[2] * p[2]
     slack = 1e-9
     near = near.where(square(gaps) <= length * length * (1 + slack)).withColumn("sure", square(spans) <= length * length * (1 - slack))
-    near = cut(near.select(F.col("cell").alias("a"), F.col("other").alias("b"), "n", "n2", "sure"), "near")
+    near = cut(near.select(F.col("first").alias("a"), "b", "n", "n2", "sure"), "near")
     sure = near.where("sure").select("a", "b")
     few = near.where(f"not sure and n * n2 <= {SMALL_PAIRS}").select("a", "b")
-    point = lambda p: good.select(F.col("cell").alias(p), *[F.col(c).alias(f"{p}{c}") for c in AXES])
+    point = lambda p: good.select(F.col("node").alias(p), *[F.col(c).alias(f"{p}{c}") for c in AXES])
     few = few.join(point("a"), "a").join(point("b"), "b").where(distance2("a", "b", box) <= length * length).select("a", "b").distinct()
     asked = near.where(f"not sure and n * n2 > {SMALL_PAIRS}").withColumns({"ba": F.explode(F.expr(f"sequence(0, cast(ceil(n / {CELL_BLOCK}) as int) - 1)")), "na": F.ceil(F.col("n") / CELL_BLOCK).cast("int"), "nb": F.ceil(F.col("n2") / CELL_BLOCK).cast("int")})
     asked = asked.withColumn("bb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("a", "b", "ba", "bb", "na", "nb")
     block = lambda k: F.pmod(F.xxhash64("pidx"), F.col(k)).cast("int")
-    side_a = asked.join(good.select(F.col("cell").alias("a"), "pidx", *AXES), "a").where(F.col("ba") == block("na"))
-    side_b = asked.join(good.select(F.col("cell").alias("b"), "pidx", *AXES), "b").where(F.col("bb") == block("nb"))
+    side_a = asked.join(good.select(F.col("node").alias("a"), "pidx", *AXES), "a").where(F.col("ba") == block("na"))
+    side_b = asked.join(good.select(F.col("node").alias("b"), "pidx", *AXES), "b").where(F.col("bb") == block("nb"))
     key = ["a", "b", "ba", "bb"]
     side_a, side_b = (s.select(*[F.col(c).alias(c) for c in (*key, *AXES)]) for s in (side_a, side_b))
     tested = side_a.groupBy(*key).cogroup(side_b.groupBy(*key)).applyInPandas(_touch(length, box), "a long, b long")
-    roots = connected_components(cells.select(F.col("cell").alias("id")), sure.unionByName(few).unionByName(tested))
-    joined = cut(good.select("pidx", "cell").join(roots.withColumnRenamed("id", "cell"), "cell"), "rooted")
-    labels = size_labels(joined, "root", "pidx", least)
-    return joined.join(labels.select("root", "first", "label"), "root").select("pidx", F.col("first").alias("root"), "label")
+    roots = connected_components(cells.select(F.col("first").alias("id")), sure.unionByName(few).unionByName(tested))
+    joined = cut(good.select(*by, "pidx", "node").join(roots.withColumnRenamed("id", "node"), "node"), "rooted")
+    labels = size_labels(joined, "root", "pidx", least, by)
+    return joined.join(labels.select("root", "first", "label"), "root").select(*by, "pidx", F.col("first").alias("root"), "label")
 
 
 def local_dispersions(points: DataFrame, length: float, by: tuple[str, ...] = ()) -> DataFrame:

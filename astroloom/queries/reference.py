@@ -530,18 +530,18 @@ def nearest_label(spark, sf_dir):
 
 @query("fof_haloes")
 def fof_haloes(spark, sf_dir):
-    """Friends-of-friends over all dark matter of run 1: component sizes by label; checked by brute force in the tests."""
-    rows = members(spark, sf_dir).where("ptype = 'dm' and run_id = 1")
-    return S.friends_of_friends(rows, 1.5, BOX, 20).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("pidx").alias("first"))
+    """Friends-of-friends over all dark matter of every run: component sizes by run and label; checked by brute force in the tests."""
+    rows = members(spark, sf_dir).where("ptype = 'dm'")
+    return S.friends_of_friends(rows, 1.5, BOX, 20, ("run_id",)).groupBy("run_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("pidx").alias("first"))
 
 
 @query("fof_attach")
 def fof_attach(spark, sf_dir):
-    """Baryons of run 1 take the halo of the nearest linked dark matter particle."""
-    rows = cut(members(spark, sf_dir).where("run_id = 1"), "members")
-    labels = cut(S.friends_of_friends(rows.where("ptype = 'dm'"), 1.5, BOX, 20), "labels")
+    """Baryons of every run take the halo of the nearest linked dark matter particle of their run."""
+    rows = cut(members(spark, sf_dir), "members")
+    labels = cut(S.friends_of_friends(rows.where("ptype = 'dm'"), 1.5, BOX, 20, ("run_id",)), "labels")
     dm = rows.where("ptype = 'dm'").join(labels.where("label >= 0").select("pidx", "label"), "pidx")
-    return S.nearest_label(rows.where("ptype <> 'dm'"), dm, 1.5, BOX)
+    return S.nearest_label(rows.where("ptype <> 'dm'"), dm, 1.5, BOX, by=("run_id",))
 
 
 @query(

@@ -59,6 +59,40 @@ def test_friends_of_friends(points, monkeypatch, blocks):
     assert S.friends_of_friends(df.limit(0), 1.5, BOX).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [S.CELL_BLOCK, 4])
+def test_friends_of_friends_keep_runs_apart(points, monkeypatch, blocks):
+    df, pos, _ = points
+    monkeypatch.setattr(S, "CELL_BLOCK", blocks)
+    monkeypatch.setattr(S, "SMALL_PAIRS", 4096 if blocks > 4 else 1)
+    run = np.arange(len(pos)) % 2
+    d2 = (near(pos[:, None] - pos[None]) ** 2).sum(-1)
+    want = components((d2 <= 2.25) & (run[:, None] == run[None]))
+    rows = df.withColumn("run_id", F.col("pidx") % 2)
+    got = {r["pidx"]: r for r in S.friends_of_friends(rows, 1.5, BOX, 10, ("run_id",)).collect()}
+    assert [got[i]["root"] for i in range(len(pos))] == list(want) and all(got[i]["run_id"] == run[i] for i in got)
+    sizes = np.bincount(want, minlength=len(pos))
+    for k in (0, 1):
+        order = sorted((r for r in set(want) if sizes[r] >= 10 and r % 2 == k), key=lambda r: (-sizes[r], r))
+        assert order and all(got[i]["label"] == (order.index(want[i]) if want[i] in order else -1) for i in range(k, len(pos), 2))
+    labelled = rows.where("pidx % 7 = 0").withColumn("label", F.col("pidx"))
+    found = {r["pidx"]: r["label"] for r in S.nearest_label(rows, labelled, 3.0, BOX, by=("run_id",)).collect()}
+    chosen = np.arange(0, len(pos), 7)
+    for i in range(len(pos)):
+        best = min(((d2[i, j], j) for j in chosen if d2[i, j] <= 9.0 and run[j] == run[i]), default=None)
+        assert found[i] == (best[1] if best else -1)
+
+
+def test_fof_queries_cover_every_run(spark):
+    from astroloom.queries import reference
+
+    folder = "/root/testdata/sf0.001"
+    rows = reference.members(spark, folder)
+    runs = {r["run_id"]: r["n"] for r in rows.where("ptype = 'dm'").groupBy("run_id").agg(F.count("*").alias("n")).collect()}
+    got = reference.fof_haloes(spark, folder).groupBy("run_id").agg(F.sum("n").alias("n")).collect()
+    assert len(runs) > 1 and {r["run_id"]: r["n"] for r in got} == runs
+    assert reference.fof_attach(spark, folder).count() == rows.where("ptype <> 'dm'").count()
+
+
 @pytest.mark.parametrize("small", [0, 10_000])
 def test_components_of_a_graph(spark, monkeypatch, small):
     monkeypatch.setattr(S, "SMALL_EDGES", small)
