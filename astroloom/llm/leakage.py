@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections import defaultdict
 
@@ -17,9 +18,12 @@ from astroloom.tables import cut
 SEED = 3
 #: Least share of an item's own words that a document must hold.
 COVER = 0.5
-#: A seed that more than this share of all documents hold (and more than COMMON_LEAST) is shared wording.
+#: A seed that more than this share of all distinct texts hold (and more than COMMON_LEAST) may be shared wording.
 COMMON = 0.005
 COMMON_LEAST = 10
+#: It is, if so many times more texts hold it than hold the item's other seeds (this quantile of the item's seeds).
+STANDS_OUT = 4
+REST = 0.25
 #: Share of an item's own seeds that a document must hold to be tiled, and their least number.
 CANDIDATE = 0.08
 CANDIDATE_LEAST = 2
@@ -63,9 +67,9 @@ class Items:
         self.owner = pairs[:, 1]
         self.starts = np.searchsorted(pairs[:, 0], np.arange(len(self.seeds) + 1))
 
-    def number(self, text: str) -> np.ndarray:
+    def number(self, listed: list[str]) -> np.ndarray:
         find = self.vocabulary.get
-        return np.array([find(w, -1) for w in words(text)], dtype=np.int64)
+        return np.array([find(w, -1) for w in listed], dtype=np.int64)
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions, seed numbers) of the seeds in a document."""
@@ -76,16 +80,35 @@ class Items:
         at = np.flatnonzero(self.seeds[place] == marks)
         return at, place[at]
 
-    def own_words(self, rare: np.ndarray) -> list[np.ndarray]:
-        """Per item, which of its words lie in a seed that is not shared wording."""
+    def own_seeds(self, held: np.ndarray, many: float) -> list[np.ndarray]:
+        """Per item, its seeds that are not shared wording, from the number of texts that hold each seed.
+
+        Wording that many texts share stands out from the rest of an item. If the whole item is in many texts, all its
+        seeds are as frequent, and it is a wide leak; so every item with seeds keeps own ones.
+        """
         out = []
-        for ids, at in zip(self.ids, self.at):
+        for at in self.at:
+            mine = np.unique(at)
+            rest = np.quantile(held[at], REST) if len(at) else 0
+            out.append(mine[held[mine] <= max(many, STANDS_OUT * rest)])
+        return out
+
+    def own_words(self, own: list[np.ndarray]) -> list[np.ndarray]:
+        """Per item, which of its words lie in one of its own seeds."""
+        out = []
+        for ids, at, seeds in zip(self.ids, self.at, own):
             mine = np.zeros(len(ids), dtype=bool)
-            for j in np.flatnonzero(rare[at]) if len(at) else []:
+            for j in np.flatnonzero(np.isin(at, seeds)):
                 mine[j : j + self.k] = True
             out.append(mine)
         return out
 
+    def keep(self, own: list[np.ndarray]) -> None:
+        """Restricts the index from seeds to items to own seeds."""
+        pairs = np.array(sorted((s, i) for i, seeds in enumerate(own) for s in seeds.tolist()), dtype=np.int64).reshape(-1, 2)
+        self.owner = pairs[:, 1]
+        self.starts = np.searchsorted(pairs[:, 0], np.arange(len(self.seeds) + 1))
+
 
 def _runs(doc: np.ndarray, item: np.ndarray, least: int):
     """Maximal common runs of at least ``least`` words as (length, document place, item place)."""
@@ -182,8 +205,10 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     """(doc id, item id, ``coverage``): documents that hold at least ``cover`` of an item's own words.
 
     Words are compared in lower case without accents, markup, digits and punctuation. An item's own words lie in
-    seeds of three words that at most ``common`` of all documents hold; the rest is shared wording and not
-    counted, and an item without own words is never reported. A document is tiled with an item if it holds some of the
+    seeds of three words that at most ``common`` of all distinct texts hold, or that no more texts hold than hold the
+    rest of the item; what stands out from it is shared wording and not counted. Texts of equal words count once, so
+    copies of a text that holds an item do not make it shared. An item of less than three words is never
+    reported. A document is tiled with an item if it holds some of the
     item's own seeds; the tiles must lie close together, in any order, and single words may differ. Null and empty
     texts hold nothing; rows that repeat a document id count as one document each and give one row per item.
 
@@ -200,35 +225,39 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
 
 def _find(docs: DataFrame, doc_id: str, text: str, items: Items, cover: float, common: float) -> DataFrame:
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(items)
+    index = spark.sparkContext.broadcast(items)
     texts = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
 
     def scan(batches):
         for pdf in batches:
             rows = []
             for d, t in zip(pdf["d"], pdf["t"]):
-                at, seeds = shared.value.hits(shared.value.number(t))
-                rows.append((d, np.unique(seeds).astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["d", "seeds"])
-
-    hits = cut(spread(texts).mapInPandas(scan, "d long, seeds array<int>"), "hits")
-    many = max(COMMON_LEAST, hits.count() * common)
-    counts = hits.select(F.explode("seeds").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+                listed = words(t)
+                at, seeds = index.value.hits(index.value.number(listed))
+                same = hashlib.blake2b(" ".join(listed).encode("utf-8", "ignore"), digest_size=16).digest()
+                rows.append((d, same, np.unique(seeds).astype(np.int32)))
+            yield pd.DataFrame(rows, columns=["d", "same", "seeds"])
+
+    hits = cut(spread(texts).mapInPandas(scan, "d long, same binary, seeds array<int>"), "hits")
+    many = max(COMMON_LEAST, hits.select("same").distinct().count() * common)
+    # equal texts count once; they are folded before they travel
+    different = hits.where(F.size("seeds") > 0).groupBy("same").agg(F.first("seeds").alias("seeds"))
+    counts = different.select(F.explode("seeds").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     # one number per seed of the items of this pass, so bounded by ITEM_WORDS
-    often = counts.where(F.col("n") > many).toPandas()["s"].to_numpy(dtype=np.int64)
-    rare = np.ones(len(items.seeds), dtype=bool)
-    rare[often] = False
-    own = items.own_words(rare)
-    needed = np.array([max(CANDIDATE_LEAST, int(np.ceil(CANDIDATE * rare[np.unique(at)].sum()))) if len(at) else 1 << 30 for at in items.at])
-    told = spark.sparkContext.broadcast((rare, own, needed))
+    counted = counts.toPandas()
+    held = np.zeros(len(items.seeds), dtype=np.int64)
+    held[counted["s"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
+    own = items.own_seeds(held, many)
+    needed = np.array([max(CANDIDATE_LEAST, int(np.ceil(CANDIDATE * len(seeds)))) if len(seeds) else 1 << 30 for seeds in own])
+    told = spark.sparkContext.broadcast((own, items.own_words(own), needed))
+    items.keep(own)
+    shared = spark.sparkContext.broadcast(items)
 
     def choose(batches):
-        items, (rare, _, needed) = shared.value, told.value
+        items, (_, _, needed) = shared.value, told.value
         for pdf in batches:
             rows = []
             for d, seeds in zip(pdf["d"], pdf["seeds"]):
-                seeds = np.asarray(seeds, dtype=np.int64)
-                seeds = seeds[rare[seeds]]
                 if len(seeds):
                     owners = np.concatenate([items.owner[items.starts[s] : items.starts[s + 1]] for s in seeds])
                     which, n = np.unique(owners, return_counts=True)
@@ -240,16 +269,14 @@ def _find(docs: DataFrame, doc_id: str, text: str, items: Items, cover: float, c
     candidates = cut(hits.mapInPandas(choose, "d long, which array<int>").groupBy("d").agg(F.array_distinct(F.flatten(F.collect_list("which"))).alias("which")), "candidates")
 
     def check(batches):
-        items, (rare, own, _) = shared.value, told.value
+        items, (own, own_words, _) = shared.value, told.value
         for pdf in batches:
             rows = []
             for d, t, which in zip(pdf["d"], pdf["t"], pdf["which"]):
-                ids = items.number(t)
+                ids = items.number(words(t))
                 at, seeds = items.hits(ids)
                 for i in which:
-                    mine = np.unique(items.at[i])
-                    mine = mine[rare[mine]]
-                    share = coverage(ids, items.ids[i], own[i], at[np.isin(seeds, mine)])
+                    share = coverage(ids, items.ids[i], own_words[i], at[np.isin(seeds, own[i])])
                     if share >= cover:
                         rows.append((d, items.idents[i], share))
             yield pd.DataFrame(rows, columns=["d", "i", "coverage"])

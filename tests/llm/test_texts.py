@@ -171,6 +171,27 @@ def test_leaks_of_nothing(corpus):
     assert leakage.find_leaks(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
 
 
+def test_wide_leaks_are_no_shared_wording(spark):
+    rng = random.Random(17)
+    shared = make(rng, 20)
+    wide, copied, plain = shared + make(rng, 40), make(rng, 45), make(rng, 45)
+    docs = {d: make(rng, 120) + (shared if d % 2 else []) + make(rng, 60) for d in range(300)}
+    want = set()
+    for d in range(300, 340):  # one item in many different texts
+        docs[d] = make(rng, 80) + wide + make(rng, 40)
+        want.add((d, 1))
+    rows = [(d, sentence(w)) for d, w in docs.items()]
+    text = sentence(make(rng, 80) + copied + make(rng, 40))
+    rows += [(d, text if d % 2 else text.upper()) for d in range(400, 600)]  # a third of the rows are copies
+    want |= {(d, 2) for d in range(400, 600)}
+    rows += [(700, sentence(make(rng, 90) + copied)), (701, sentence(make(rng, 90) + plain))]
+    want |= {(700, 2), (701, 3)}
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    items = spark.createDataFrame([(1, sentence(wide)), (2, sentence(copied)), (3, sentence(plain))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(table, "doc_id", "text", items, "item_id", "text").collect()}
+    assert got == want
+
+
 # stuffed pages
 
 
