@@ -60,19 +60,21 @@ def sales_share(text: str, n: int, han: bool) -> float:
     return sum(w in _SALES for w in _WORD.findall(text.lower())) / n
 
 
-def language(sample: str) -> str:
-    """zh by its script, else the language with most frequent words, else 'xx'; recorded languages may be wrong."""
-    if not sample.isascii() and len(_HAN.findall(sample)) * 5 > len(sample):
-        return "zh"
-    found = sample.lower().split()
-    score = {k: sum(w in v for w in found) for k, v in _FREQUENT.items()}
+def chinese(text: str) -> bool:
+    return not text.isascii() and len(_HAN.findall(text)) * 5 > len(text)
+
+
+def language(text: str) -> str:
+    """The language with most frequent words, else 'xx'; recorded languages may be wrong. Chinese is told by its script."""
+    found = text.lower().split()
+    score = {k: sum(map(v.__contains__, found)) for k, v in _FREQUENT.items()}
     best = max(score, key=lambda k: (score[k], k))
     return best if score[best] * 10 >= len(found) > 0 else "xx"
 
 
-def size_in_words(text: str, han: bool) -> int:
-    """Words by blanks; in Chinese text every two characters count as a word."""
-    if han:
+def size_in_words(text: str) -> int:
+    """Words by blanks; every two Chinese characters count as a word."""
+    if not text.isascii() and _HAN.search(text):
         n = len(_HAN.findall(text))
         return n // 2 + (len(_HAN.sub(" ", text).split()))
     return len(text.split())
@@ -101,43 +103,44 @@ def blocks(text: str) -> list[tuple[str, int, int, bool, int, int]]:
     """(language, words, sentence ends, sales, bytes, compressed bytes) of blocks that make up the whole text.
 
     A stretch without a sentence end forms blocks of its own once it is longer than any usual sentence. Sentences
-    are gathered to blocks of about BLOCK words, those with many sales words apart from the others.
+    are gathered to blocks of about BLOCK words, those with many sales words apart from the others. A Chinese block is told by
+    its own characters, the language of the others from the whole text, so the parts of a mixed text count each in its own way.
     """
     text = plain(text)
     cuts = [m.end() for m in _END.finditer(text)] + [len(text)]
-    lang = language(text[:2000])
-    han = lang == "zh"
+    lang = language(text)
     out: list = []
-    gathered: dict[bool, list] = {False: [], True: []}
-    counts = {False: [0, 0], True: [0, 0]}
+    gathered: dict[tuple[bool, bool], list] = {(kind, han): [] for kind in (False, True) for han in (False, True)}
+    counts = {k: [0, 0] for k in gathered}
 
-    def flush(kind: bool) -> None:
-        n, ends = counts[kind]
+    def flush(key: tuple[bool, bool]) -> None:
+        n, ends = counts[key]
         if n:
-            out.append((lang, n, ends, kind, *ratio("".join(gathered[kind]))))
-        gathered[kind], counts[kind] = [], [0, 0]
+            out.append(("zh" if key[1] else lang, n, ends, key[0], *ratio("".join(gathered[key]))))
+        gathered[key], counts[key] = [], [0, 0]
 
     at = 0
     for to in cuts:
         piece = text[at:to]
         at = to
-        n = size_in_words(piece, han)
+        n = size_in_words(piece)
         closed = to < len(text)
         if n >= STRETCH:
             parts = max(1, round(n / BLOCK))
             step = -(-len(piece) // parts)
             for i in range(0, len(piece), step):
                 part = piece[i : i + step]
-                out.append((lang, size_in_words(part, han), int(closed and i + step >= len(piece)), False, *ratio(part)))
+                out.append(("zh" if chinese(part) else lang, size_in_words(part), int(closed and i + step >= len(piece)), False, *ratio(part)))
             continue
-        kind = sales_share(piece, n, han) >= SALES
-        gathered[kind].append(piece)
-        counts[kind][0] += n
-        counts[kind][1] += closed
-        if counts[kind][0] >= BLOCK:
-            flush(kind)
-    flush(False)
-    flush(True)
+        han = chinese(piece)
+        key = (sales_share(piece, n, han) >= SALES, han)
+        gathered[key].append(piece)
+        counts[key][0] += n
+        counts[key][1] += closed
+        if counts[key][0] >= BLOCK:
+            flush(key)
+    for key in gathered:
+        flush(key)
     return out
 
 
@@ -159,12 +162,12 @@ def find_stuffed(docs: DataFrame, doc_id: str, text: str, redundant: float = RED
                 found = blocks(t)
                 if found:
                     lang, n, ends, sales, size, packed = zip(*found)
-                    rows.append((d, lang[0], list(n), list(ends), list(sales), list(size), list(packed)))
+                    rows.append((d, list(lang), list(n), list(ends), list(sales), list(size), list(packed)))
             yield pd.DataFrame(rows, columns=["d", "lang", "n", "ends", "sales", "size", "packed"])
 
     texts = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
-    found = cut(spread(texts).mapInPandas(cut_up, "d long, lang string, n array<int>, ends array<int>, sales array<boolean>, size array<int>, packed array<int>"), "blocks")
-    rows = found.select("d", "lang", F.explode(F.arrays_zip("n", "ends", "sales", "size", "packed")).alias("b")).select("d", "lang", "b.*").where("size > 0")
+    found = cut(spread(texts).mapInPandas(cut_up, "d long, lang array<string>, n array<int>, ends array<int>, sales array<boolean>, size array<int>, packed array<int>"), "blocks")
+    rows = found.select("d", F.explode(F.arrays_zip("lang", "n", "ends", "sales", "size", "packed")).alias("b")).select("d", "b.*").where("size > 0")
     rows = rows.withColumns({"ratio": F.col("packed") / F.col("size"), "length": F.least(F.lit(12.0), F.floor(F.log2("size") * 2) / 2)})
     prose = rows.where("ends > 0 and not sales")
     # one row per language and length class: a few dozen

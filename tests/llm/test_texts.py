@@ -226,3 +226,19 @@ def test_blocks_cover_the_text():
     text = "One short sentence here. " * 40 + "tag " * 300
     found = stuffing.blocks(text)
     assert 0 <= sum(b[1] for b in found) - len(text.split()) < len(found) and stuffing.blocks("") == []  # a word on a cut counts twice
+
+
+def test_parts_of_mixed_texts_count_in_their_own_way(spark):
+    rng = random.Random(19)
+    latin = "".join(f"The {' '.join(make(rng, 9))} of the {rng.choice(LEXICON)} is in a {rng.choice(LEXICON)}.\n" for _ in range(32))
+    assert len(latin) > 2000
+    han = "".join(rng.choice("弹簧轴承齿轮阀门泵管线板孔座盖") for _ in range(40))
+    listed = (han[:6] + "，" + han[6:11] + "，") * 500
+    found = stuffing.blocks(latin + listed)
+    assert {b[0] for b in found} == {"en", "zh"}
+    assert sum(b[1] for b in found if b[0] == "zh") >= 0.4 * len(listed)
+    behind = stuffing.blocks("弹簧轴承" * 600 + "。" + latin * 4)
+    assert {"en", "zh"} == {b[0] for b in behind}
+    rows = [(i, "".join(f"The {' '.join(make(rng, 9))} of the {rng.choice(LEXICON)}. " for _ in range(30))) for i in range(60)] + [(100, latin + listed), (101, latin)]
+    got = stuffing.find_stuffed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    assert {r["doc_id"] for r in got} == {100}
