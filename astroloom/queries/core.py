@@ -40,11 +40,17 @@ def p4_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All descendants of every subhalo whose id is divisible by 20."""
+    """All descendants of every subhalo whose id is divisible by 20: the sample that the SQL counterpart can check; p4_all_descendants has all."""
     _, forest = _forest(spark, sf_dir)
     return descendants(forest, F.col("id") % 20 == 0).withColumnsRenamed({"id": "sub_id", "descendant": "descendant_id"})
 
 
+def p4_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants of every subhalo."""
+    _, forest = _forest(spark, sf_dir)
+    return descendants(forest, F.lit(True)).withColumnsRenamed({"id": "sub_id", "descendant": "descendant_id"})
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subhaloes on or below circles, orphans, and wrong recorded depths and hosts."""
     rows, forest = _forest(spark, sf_dir)
@@ -87,6 +93,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_tree": p4_tree,
     "p4_descendants": p4_descendants,
+    "p4_all_descendants": p4_all_descendants,
     "p5_found": p5_found,
     "p5_summary": p5_summary,
 }

@@ -78,3 +78,16 @@ def test_edges_of_input(spark):
 @pytest.mark.parametrize("n", [1, 2])
 def test_tiny(spark, n):
     check(spark, {i: None for i in range(n)})
+
+
+def test_query_lists_descendants_of_all_subhaloes(spark):
+    from astroloom.queries import core
+
+    folder = "/root/testdata/sf0.001"
+    want = {r["sub_id"]: r["n_descendants"] for r in core.p4_tree(spark, folder).where("n_descendants > 0").collect()}
+    pairs = [tuple(r) for r in core.p4_all_descendants(spark, folder).collect()]
+    got = {}
+    for node, _ in pairs:
+        got[node] = got.get(node, 0) + 1
+    assert len(set(pairs)) == len(pairs) and got == want and any(node % 20 for node in got)
+    assert {p for p in pairs if p[0] % 20 == 0} == {tuple(r) for r in core.p4_descendants(spark, folder).collect()}
