@@ -153,19 +153,44 @@ def tile(doc: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tuple[int
     return tiles
 
 
-def coverage(doc: np.ndarray, item: np.ndarray, own: np.ndarray, anchors: np.ndarray) -> float:
+def _distinct_ahead(anchors: np.ndarray, seeds: np.ndarray, span: int) -> np.ndarray:
+    """For every anchor, how many different seeds lie within ``span`` words from it on."""
+    ends = np.searchsorted(anchors, anchors + span, side="right").tolist()
+    numbers = np.unique(seeds, return_inverse=True)[1].tolist()
+    held, out, different, to = [0] * len(numbers), [], 0, 0
+    for start, end in enumerate(ends):
+        while to < end:
+            different += not held[numbers[to]]
+            held[numbers[to]] += 1
+            to += 1
+        out.append(different)
+        held[numbers[start]] -= 1
+        different -= not held[numbers[start]]
+    return np.array(out)
+
+
+def coverage(doc: np.ndarray, item: np.ndarray, own: np.ndarray, anchors: np.ndarray, seeds: np.ndarray, least: int = 1) -> float:
     """Share of an item's own words that tiles cover within the best stretch of the document.
 
-    ``anchors`` are places of the item's own seeds in the document. The stretch is two and a half times as long as the item; next to a
-    tile, single words may differ, be missing or be added where at least two equal words follow.
+    ``anchors`` are places of the item's own ``seeds`` in the document, ascending. A stretch is two and a half times as long as the
+    item; all that hold ``least`` different seeds are tiled, those with most first, but for those within one that
+    was. Next to a tile, single words may differ, be missing or be added where at least two equal words follow.
     """
     if not own.any() or not len(anchors):
         return 0.0
     span = int(2.5 * len(item)) + 20
-    ahead = np.searchsorted(anchors, anchors + span, side="right") - np.arange(len(anchors))
-    best = int(np.argmax(ahead))
-    low = max(0, int(anchors[best]) - len(item) // 2 - 10)
-    doc = doc[low : int(anchors[best]) + span + len(item) // 2]
+    ahead = _distinct_ahead(anchors, seeds, span)
+    left = ahead >= least
+    best = 0.0
+    for k in np.argsort(-ahead, kind="stable"):
+        if left[k] and best < 1:
+            at = int(anchors[k])
+            left &= np.abs(anchors - at) > len(item) // 2
+            best = max(best, _covered(doc[max(0, at - len(item) // 2 - 10) : at + span + len(item) // 2], item, own))
+    return best
+
+
+def _covered(doc: np.ndarray, item: np.ndarray, own: np.ndarray) -> float:
     covered, used = np.zeros(len(item), dtype=bool), np.zeros(len(doc), dtype=bool)
     tiles = tile(doc, item)
     for i, j, n in tiles:
@@ -269,14 +294,15 @@ def _find(docs: DataFrame, doc_id: str, text: str, items: Items, cover: float, c
     candidates = cut(hits.mapInPandas(choose, "d long, which array<int>").groupBy("d").agg(F.array_distinct(F.flatten(F.collect_list("which"))).alias("which")), "candidates")
 
     def check(batches):
-        items, (own, own_words, _) = shared.value, told.value
+        items, (own, own_words, needed) = shared.value, told.value
         for pdf in batches:
             rows = []
             for d, t, which in zip(pdf["d"], pdf["t"], pdf["which"]):
                 ids = items.number(words(t))
                 at, seeds = items.hits(ids)
                 for i in which:
-                    share = coverage(ids, items.ids[i], own_words[i], at[np.isin(seeds, own[i])])
+                    mine = np.isin(seeds, own[i])
+                    share = coverage(ids, items.ids[i], own_words[i], at[mine], seeds[mine], needed[i])
                     if share >= cover:
                         rows.append((d, items.idents[i], share))
             yield pd.DataFrame(rows, columns=["d", "i", "coverage"])

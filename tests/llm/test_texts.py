@@ -171,6 +171,26 @@ def test_leaks_of_nothing(corpus):
     assert leakage.find_leaks(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
 
 
+def test_passage_behind_a_dense_term(spark):
+    rng = random.Random(23)
+    held = make(rng, 60)
+    term = held[:5]
+    dense = [w for _ in range(40) for w in term + make(rng, 5)]
+    rows = [(1, sentence(dense + make(rng, 400) + held[20:54] + make(rng, 100))), (2, sentence(make(rng, 100) + dense)), (3, sentence(make(rng, 300)))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(7, sentence(held))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(table, "doc_id", "text", items, "item_id", "text").collect()}
+    assert got == {(1, 7)}
+
+
+def test_distinct_seeds_ahead():
+    rng = np.random.default_rng(3)
+    anchors = np.unique(rng.integers(0, 300, 120))
+    seeds = rng.integers(0, 12, len(anchors))
+    want = [len({s for a, s in zip(anchors, seeds) if at <= a <= at + 25}) for at in anchors]
+    assert leakage._distinct_ahead(anchors, seeds, 25).tolist() == want
+
+
 def test_wide_leaks_are_no_shared_wording(spark):
     rng = random.Random(17)
     shared = make(rng, 20)
