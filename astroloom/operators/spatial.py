@@ -254,15 +254,21 @@ def find_galaxies(points: DataFrame, halo: str, length: float, factor: float = 1
     return points.select("pidx").join(out.select("pidx", "root", "galaxy"), "pidx", "left").withColumn("galaxy", F.coalesce("galaxy", F.lit(-1)))
 
 
-def aperture_masses(galaxies: DataFrame, members: DataFrame, by: tuple[str, ...], galaxy: str, radii: dict[str, float], box: float) -> DataFrame:
-    """Mass per type and in all within each radius of every galaxy, from particles of the same ``by``; 0 where empty."""
+def aperture_masses(galaxies: DataFrame, members: DataFrame, by: tuple[str, ...], galaxy: str, radii: dict[str, float], box: float, phases: tuple[str, ...] = ()) -> DataFrame:
+    """Mass per type and in all within each radius of every galaxy, from particles of the same ``by``; 0 where empty.
+
+    ``phases`` ('HI', 'H2') are parts of the gas with a column mass_{phase}; they get apertures of their own.
+    """
     largest = max(radii.values())
-    near = within(galaxies.select(*by, galaxy, *AXES), members.select(*by, "ptype", "mass", *AXES), largest, box, by)
+    parts = [f"mass_{p}" for p in phases]
+    near = within(galaxies.select(*by, galaxy, *AXES), members.select(*by, "ptype", "mass", *parts, *AXES), largest, box, by)
     columns = []
     for name, r in radii.items():
         inside = F.col("d2") <= r * r
         for kind in ("gas", "star", "dm", "bh"):
             columns.append(F.sum(F.when(inside & (F.col("bptype") == kind), F.col("bmass"))).alias(f"mass_{kind}_{name}"))
+        for phase, part in zip(phases, parts):
+            columns.append(F.sum(F.when(inside & (F.col("bptype") == "gas"), F.col(f"b{part}"))).alias(f"mass_{phase}_{name}"))
         columns.append(F.sum(F.when(inside, F.col("bmass"))).alias(f"mass_total_{name}"))
     sums = near.groupBy(*by, F.col(f"a{galaxy}").alias(galaxy)).agg(*columns)
     names = [c for c in sums.columns if c not in (*by, galaxy)]

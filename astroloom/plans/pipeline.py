@@ -131,8 +131,10 @@ def galaxies_in(particles: DataFrame, header: Header, config: RunConfig) -> Data
 
 
 def analyse(run: Run) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(haloes, galaxies, members) in catalogue order."""
+    """(haloes, galaxies, members) in catalogue order. Photometry is not run here; a table for it is an error."""
     config, header = run.config, run.header
+    if config.photometry_table_path is not None and config.stages.get("photometry", True):
+        raise NotImplementedError("photometry_table_path is given, but the analysis does not run photometry; switch the stage off or drop the table")
     types = tuple(p for p, on in config.process_ptypes.items() if on)
     particles = cut(M.select_halos(run.particles, "halo_id", config.min_dm_per_halo, types), "particles")
     fields = particles.select("halo_id").distinct().select(F.col("halo_id").alias("id"), F.lit(-1).cast("long").alias("parent"))
@@ -169,7 +171,8 @@ def analyse(run: Run) -> tuple[DataFrame, DataFrame, DataFrame]:
     galaxies = galaxies.join(parents, "galaxy")
     if config.stages.get("properties_local_environment", True):
         sites = galaxies.select(F.col("field").alias("halo_id"), "galaxy", *[F.get("com_pos_baryon", F.lit(i)).alias(c) for i, c in enumerate(G.AXES)], F.col("mass_baryon").alias("mass"))
-        around = S.aperture_masses(sites, particles, ("halo_id",), "galaxy", {f"{r}kpc": float(r) for r in config.aperture_size}, header.boxsize)
+        phases = tuple(p for p in ("HI", "H2") if f"mass_{p}" in particles.columns)
+        around = S.aperture_masses(sites, particles, ("halo_id",), "galaxy", {f"{r}kpc": float(r) for r in config.aperture_size}, header.boxsize, phases)
         galaxies = galaxies.join(around.drop("halo_id"), "galaxy", "left")
         if config.distribute_halo_hydrogen:
             free = particles.where(F.col("ptype") == "gas").join(inside.select("pidx"), "pidx", "left_anti")

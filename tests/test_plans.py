@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from astroloom.functions.physics import Cosmology, Header
-from astroloom.plans import catalogue, cli, stages
+from astroloom.plans import catalogue, cli, pipeline, stages
 from astroloom.plans.config import RunConfig
 from astroloom.plans.pipeline import Run, analyse_to, type_properties
 from astroloom.sources import formats, halo_sources, synthetic
@@ -188,3 +188,15 @@ def test_command_line_with_built_in_finder(spark, tmp_path, monkeypatch):
     assert warn_if_dominant(6, 10) and not warn_if_dominant(5, 10) and not warn_if_dominant(0, 0)
     catalogue.recompress(spark, f"{tmp_path}/cat", f"{tmp_path}/small")
     assert catalogue.Catalogue(spark, f"{tmp_path}/small").haloes.df.count() == 3
+
+
+def test_analysis_gives_hydrogen_apertures_and_refuses_a_photometry_table(spark, tmp_path):
+    rows = synthetic.particles(spark, {"gas": 150, "dm": 150, "star": 60, "bh": 3}).withColumn("sub_id", F.lit(-1))
+    head = Header(500.0, 0.68, 0.25, 3.0, Cosmology(0.68, 0.3), 120, 300)
+    more = dict(min_dm_per_halo=10, min_stars_per_galaxy=5, b=0.02, velocity_factor=3.0, gas_criterion="DENSE_ONLY", nH_lim=1e-6)
+    with pytest.raises(NotImplementedError):
+        pipeline.analyse(Run(rows, head, config(tmp_path, photometry_table_path="t", **more)))
+    stages_on = {"properties_ptype_specific": False, "photometry": False}
+    _, galaxies, _ = pipeline.analyse(Run(rows, head, config(tmp_path, stages=stages_on, **more)))
+    found = galaxies.select("mass_gas_30kpc", "mass_HI_30kpc", "mass_H2_30kpc").collect()
+    assert found and all(0 <= r[f"mass_{p}_30kpc"] <= r["mass_gas_30kpc"] * 1.0001 for r in found for p in ("HI", "H2")) and any(r["mass_HI_30kpc"] > 0 for r in found)

@@ -162,3 +162,14 @@ def test_metal_columns(spark):
         gas = spark.createDataFrame([(1, x, 500.0, z, h, 1.0, 0.02)], "g long, x double, y double, z double, h double, mass double, metallicity double")
         got = {r["g"]: r["column"] for r in S.metal_columns(stars, gas, ("g",), table, 1000.0).collect()}
         assert got[1] == pytest.approx(want) and got[2] == 0
+
+
+def test_hydrogen_apertures(points, spark):
+    df, pos, _ = points
+    rows = df.withColumns({"halo": F.lit(1).cast("long"), "mass_HI": F.when(F.col("ptype") == "gas", F.col("mass") / 4), "mass_H2": F.when(F.col("ptype") == "gas", F.col("mass") / 8)})
+    sites = rows.where("pidx < 5").select("halo", F.col("pidx").alias("galaxy"), "x", "y", "z")
+    got = {r["galaxy"]: r for r in S.aperture_masses(sites, rows, ("halo",), "galaxy", {"20kpc": 20.0}, BOX, ("HI", "H2")).collect()}
+    gas = np.arange(len(pos)) % 3 == 0
+    for g in range(5):
+        mass = (np.arange(len(pos)) % 5 + 1.0)[gas & (np.sqrt((near(pos - pos[g]) ** 2).sum(1)) <= 20)].sum()
+        assert got[g]["mass_HI_20kpc"] == mass / 4 and got[g]["mass_H2_20kpc"] == mass / 8 and got[g]["mass_gas_20kpc"] == mass
