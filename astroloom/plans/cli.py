@@ -32,6 +32,8 @@ galaxies:
   b: 0.02
 """
 _GAS = ["rho", "temperature", "sfr", "metallicity", "helium_fraction", "mass_HI", "mass_H2", "smoothing_length"]
+#: Sources that a run can take halo ids from; the readers of the others are not wired into a run.
+_WIRED = ("SNAPSHOT", "FOF")
 _OWN = {"gas": _GAS, "star": ["metallicity", "age"], "bh": ["bhmass", "bhmdot"], "dm": []}
 
 
@@ -62,6 +64,10 @@ def load_particles(snapshot, config: RunConfig):
 def with_haloes(particles, snapshot, config: RunConfig):
     """Particles with halo numbers: the stored ones, or friends-of-friends over dark matter with baryons attached."""
     source = choose_source(config.halo_id_source, {p: "halo_id" in snapshot.available(p) for p, on in config.process_ptypes.items() if on})
+    if source not in _WIRED:
+        raise NotImplementedError(f"halo_id_source {source}: a run can't read its catalogue yet; the sources are {_WIRED} and SNAP_OR_FOF")
+    if config.halo_catalogue_path is not None:
+        raise NotImplementedError("halo_catalogue_path is given, but no source that a run can take reads it")
     if source != "FOF":
         return particles
     dm = particles.where("ptype = 'dm'")

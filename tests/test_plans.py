@@ -200,3 +200,18 @@ def test_analysis_gives_hydrogen_apertures_and_refuses_a_photometry_table(spark,
     _, galaxies, _ = pipeline.analyse(Run(rows, head, config(tmp_path, stages=stages_on, **more)))
     found = galaxies.select("mass_gas_30kpc", "mass_HI_30kpc", "mass_H2_30kpc").collect()
     assert found and all(0 <= r[f"mass_{p}_30kpc"] <= r["mass_gas_30kpc"] * 1.0001 for r in found for p in ("HI", "H2")) and any(r["mass_HI_30kpc"] > 0 for r in found)
+
+
+@pytest.mark.parametrize("source", ["AHF", "HBT-HERONS", "SUBFIND"])
+def test_sources_that_are_not_wired_are_refused(source, tmp_path):
+    from types import SimpleNamespace
+
+    from astroloom.plans import cli
+
+    snapshot = SimpleNamespace(available=lambda p: {"halo_id"})
+    settings = {"snapshot_path": "s", "output_dir": str(tmp_path), "simulation_type": "SWIFT-EAGLE"}
+    with pytest.raises(NotImplementedError):
+        cli.with_haloes("particles", snapshot, RunConfig(halo_id_source=source, **settings))
+    with pytest.raises(NotImplementedError):
+        cli.with_haloes("particles", snapshot, RunConfig(halo_id_source="SNAPSHOT", halo_catalogue_path="c", **settings))
+    assert cli.with_haloes("particles", snapshot, RunConfig(halo_id_source="SNAPSHOT", **settings)) == "particles"
