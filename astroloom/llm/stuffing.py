@@ -10,54 +10,40 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from astroloom.llm.text import repair, spread
+from astroloom.llm.text import TAG, repair, spread
 from astroloom.tables import cut
 
-#: Words of a block, and the words without a sentence end from which a stretch is looked at on its own.
+#: Words of a block.
 BLOCK = 100
+#: Words without a sentence end, and words with one at their end only, from which a stretch is looked at on its own.
 STRETCH = 24
-#: Words of a stretch that closes with a sentence end from which no single sentence is likely.
 LONG = 45
-#: A block is redundant if its ratio is below this part of the usual ratio of its language and length.
-REDUNDANT = 1.0
-#: Share of sales words from which short sentences count as listed keywords instead of prose.
-SALES = 0.06
+#: A block is redundant if its compression ratio is below this part of the usual one of its language, length and kind.
+REDUNDANT = 0.85
+#: Below this part no confirmation by the punctuation is asked for.
+EXTREME = 0.82
+#: Share of its words that the neighbouring sentences hold from which a sentence is gathered with others that repeat.
+REPEATED = 0.85
 #: Share of a text's words in stuffed blocks from which the text is reported.
 SHARE = 0.5
-#: Languages with fewer blocks of a length class take the usual ratio of all languages.
-LEAST_BLOCKS = 50
+#: The usual ratio of a class is drawn towards that of all classes of its length as if so many blocks had the latter.
+PRIOR_BLOCKS = 50
 
 _LINK = re.compile(r"(?:https?:)?//[^\s<>()\"']+|www\.[^\s<>()\"']+|href=\"[^\"]*\"")
-_TAG = re.compile(r"<[^<>]{0,300}>")
-_DIGITS = re.compile(r"\d[\d.,]*")
-_CODE = re.compile(r"\b[A-Z]{1,4}-?0\b")
-_NAME = re.compile(r"(?<=[^\W\d_] )[A-Z][^\W\d_]+")
+_NUMBER = re.compile(r"(?:\b[A-Z]{1,4}-?)?\d+(?:[.,]\d+)*")
 _END = re.compile(r"(?<=[^\W_])[)\]%\"']?[.!?](?=\s|$)|[。！？；]")
 _HAN = re.compile(r"[一-鿿]")
-# Frequent words by language.
+_TOKEN = re.compile(r"[一-鿿]|[^\W_一-鿿]+|[^\w\s]|_")
+_NUMBERED = re.compile(r"\W*(?:[^\W\d]+\s*)?\W{0,2}0\s*[.):\]、,]")
+# How patent claims name other claims.
+_CLAIM = re.compile(r"\bclaims?\b|\banspr(?:u|ü)ch|\brevendication|权利要求")
+# Frequent function words by language.
 _FREQUENT = {
-    "en": frozenset("the of and a to in is that by for with an as on this each every one another its".split()),
-    "de": frozenset("der die das und von mit ist ein eine zu den dem des nach bei einsatz teil bauteil abschnitt element".split()),
+    "en": frozenset("the of and a an to in is that by for with as on this each every at from or".split()),
+    "de": frozenset("der die das und von mit ist ein eine einer zu den dem des nach bei aus für auf im wird".split()),
     "fr": frozenset("le la les de des du et un une est dans pour par ce cette notre chaque tout sur avec".split()),
 }
-
-
-# Words of sales pages.
-_SALES = frozenset(
-    "buy cheap cheapest best price prices sale sales discount deal deals offer offers free online shipping wholesale top new quality original looking"
-    " kaufen günstig billig preis rabatt angebot versand neu sofort gratis bestellen"
-    " acheter prix promo solde soldes gratuit livraison qualité neuf pas cher".split()
-)
-_SALES_HAN = re.compile("购买|便宜|价格|报价|折扣|优惠|批发|正品|免费|包邮|热卖|热销|促销|特价|新款|厂家|直销")
-_WORD = re.compile(r"[^\W\d_]+")
-
-
-def sales_share(text: str, n: int, han: bool) -> float:
-    if not n:
-        return 0.0
-    if han:
-        return len(_SALES_HAN.findall(text)) / n
-    return sum(w in _SALES for w in _WORD.findall(text.lower())) / n
+_CODES = [bytes([128 + k]) for k in range(120)]
 
 
 def chinese(text: str) -> bool:
@@ -65,8 +51,8 @@ def chinese(text: str) -> bool:
 
 
 def language(text: str) -> str:
-    """The language with most frequent words, else 'xx'; recorded languages may be wrong. Chinese is told by its script."""
-    found = text.lower().split()
+    """The language of a lower-case text with most function words, else 'xx'; recorded languages may be wrong. Chinese is told by its script."""
+    found = text.split()
     score = {k: sum(map(v.__contains__, found)) for k, v in _FREQUENT.items()}
     best = max(score, key=lambda k: (score[k], k))
     return best if score[best] * 10 >= len(found) > 0 else "xx"
@@ -75,17 +61,27 @@ def language(text: str) -> str:
 def size_in_words(text: str) -> int:
     """Words by blanks; every two Chinese characters count as a word."""
     if not text.isascii() and _HAN.search(text):
-        n = len(_HAN.findall(text))
-        return n // 2 + (len(_HAN.sub(" ", text).split()))
+        return len(_HAN.findall(text)) // 2 + len(_HAN.sub(" ", text).split())
     return len(text.split())
 
 
-def ratio(text: str) -> tuple[int, int]:
-    """(bytes, compressed bytes) of a block after masking numbers, links, codes and names."""
-    masked = _NAME.sub("N", _CODE.sub("C", _DIGITS.sub("0", text))).lower()
-    raw = masked.encode("utf-8", "ignore")
+def packed_size(tokens: list[str]) -> int:
+    """Compressed bytes of a block.
+
+    The compressor replaces a word that was met before in the block by its number, one byte for the first 120 words,
+    and deflates the result; so words that are repeated in any order cost little even in a short block.
+    """
+    seen: dict[str, int] = {}
+    out = []
+    for w in tokens:
+        k = seen.get(w)
+        if k is None:
+            seen[w] = len(seen)
+            out.append(w.encode("utf-8", "ignore") + b" ")
+        else:
+            out.append(_CODES[k] if k < 120 else b"\xff%c%c" % (k >> 8 & 255, k & 255))
     press = zlib.compressobj(6, zlib.DEFLATED, -12, 5)
-    return len(raw), len(press.compress(raw)) + len(press.flush())
+    return len(press.compress(b"".join(out))) + len(press.flush())
 
 
 def plain(text: str) -> str:
@@ -93,66 +89,73 @@ def plain(text: str) -> str:
     if "//" in text or "www." in text or "href=" in text:
         text = _LINK.sub(" uuu ", text)
     if "<" in text:
-        text = _TAG.sub(lambda m: " uuu " if "uuu" in m[0] else " ", text)
+        text = TAG.sub(lambda m: " uuu " if "uuu" in m[0] else " ", text)
     if "&" in text:
         text = html.unescape(text)
     return repair(text)
 
 
-def blocks(text: str) -> list[tuple[str, int, int, bool, int, int]]:
-    """(language, words, sentence ends, sales, bytes, compressed bytes) of blocks that make up the whole text.
+def blocks(text: str) -> list[tuple[str, bool, int, int, int, int]]:
+    """(language, claims, words, sentence ends, bytes, compressed bytes) of blocks that make up the whole text.
 
-    A stretch without a sentence end forms blocks of its own once it is longer than any usual sentence. Sentences
-    are gathered to blocks of about BLOCK words, those with many sales words apart from the others. A Chinese block is told by
-    its own characters, the language of the others from the whole text, so the parts of a mixed text count each in its own way.
+    A stretch without a sentence end forms blocks of its own once it is longer than any usual sentence. Sentences are
+    gathered to blocks of about BLOCK words in three streams: claims (numbered, or naming another claim), sentences whose
+    words recur in their neighbours, and all others; so a block is of one kind and the streams only sort, the
+    compression decides. A Chinese block is told by its own characters, the language of the others from the whole
+    text, so the parts of a mixed text count each in its own way.
     """
-    text = plain(text)
-    cuts = [m.end() for m in _END.finditer(text)] + [len(text)]
+    text = _NUMBER.sub("0", plain(text)).lower()
     lang = language(text)
     out: list = []
-    gathered: dict[tuple[bool, bool], list] = {(kind, han): [] for kind in (False, True) for han in (False, True)}
-    counts = {k: [0, 0] for k in gathered}
+    short: list = []
 
-    def flush(key: tuple[bool, bool]) -> None:
-        n, ends = counts[key]
+    def add(content: str, tokens: list[str], claims: bool, n: int, ends: int) -> None:
         if n:
-            out.append(("zh" if key[1] else lang, n, ends, key[0], *ratio("".join(gathered[key]))))
-        gathered[key], counts[key] = [], [0, 0]
+            out.append(("zh" if chinese(content) else lang, claims, n, ends, len(content.encode("utf-8", "ignore")), packed_size(tokens)))
 
     at = 0
-    for to in cuts:
-        piece = text[at:to]
+    for to in [*(m.end() for m in _END.finditer(text)), len(text)]:
+        piece, closed = text[at:to], to < len(text)
         at = to
         n = size_in_words(piece)
-        closed = to < len(text)
-        if n >= STRETCH:
-            parts = max(1, round(n / BLOCK))
-            step = -(-len(piece) // parts)
+        claims = _CLAIM.search(piece) is not None or _NUMBERED.match(piece) is not None
+        if n >= STRETCH and (not closed or n >= LONG):
+            step = -(-len(piece) // max(1, round(n / BLOCK)))
             for i in range(0, len(piece), step):
                 part = piece[i : i + step]
-                out.append(("zh" if chinese(part) else lang, size_in_words(part), int(closed and i + step >= len(piece)), False, *ratio(part)))
-            continue
-        han = chinese(piece)
-        key = (sales_share(piece, n, han) >= SALES, han)
-        gathered[key].append(piece)
-        counts[key][0] += n
-        counts[key][1] += closed
-        if counts[key][0] >= BLOCK:
-            flush(key)
-    for key in gathered:
-        flush(key)
+                add(part, _TOKEN.findall(part), claims, size_in_words(part), int(closed and i + step >= len(piece)))
+        elif n:
+            tokens = _TOKEN.findall(piece)
+            if n < 4 and not any(map(str.isalpha, tokens)):
+                n = 0  # numbers only
+            short.append((piece, tokens, n, int(closed), claims, set(tokens)))
+    streams: dict[str, list] = {}
+    for i, (piece, tokens, n, ends, claims, own) in enumerate(short):
+        near = set().union(*[x[5] for x in short[max(0, i - 2) : i]], *[x[5] for x in short[i + 1 : i + 3]])
+        key = "claims" if claims else "repeated" if len(own & near) >= REPEATED * len(own) else "others"
+        stream = streams.setdefault(key, [[], [], 0, 0])
+        stream[0].append(piece)
+        stream[1] += tokens
+        stream[2] += n
+        stream[3] += ends
+        if stream[2] >= BLOCK:
+            add("".join(stream[0]), stream[1], claims, *stream[2:])
+            del streams[key]
+    for key, (pieces, tokens, n, ends) in streams.items():
+        add("".join(pieces), tokens, key == "claims", n, ends)
     return out
 
 
-def find_stuffed(docs: DataFrame, doc_id: str, text: str, redundant: float = REDUNDANT, share: float = SHARE) -> DataFrame:
+def find_stuffed(docs: DataFrame, doc_id: str, text: str, redundant: float = REDUNDANT, extreme: float = EXTREME, share: float = SHARE) -> DataFrame:
     """(doc id, ``share``): texts of which more than ``share`` of the words lie in stuffed blocks.
 
-    The text is cut into blocks; a block's compression ratio, after masking numbers, links, codes and names, is
-    divided by the median ratio of all prose blocks of the corpus with the same language and length class. A block is
-    stuffed if it is redundant by that measure and holds no prose by its punctuation: no sentence end in more words
-    than a usual sentence has, or at most one in far more; or short sentences that consist of sales words, which
-    carry full stops only for show. Null texts and null ids are left out, empty texts have no blocks; rows that
-    repeat an id are judged together as one text. Blocks, not texts, are kept between the two passes.
+    The text is cut into blocks; a block's compression ratio, with numbers, codes and links as one mark each, is
+    divided by the median ratio of all prose blocks of the corpus of the same language, length class and kind
+    (claims repeat each other by nature and have a median of their own). A block is stuffed if it is redundant by
+    that measure, below ``redundant`` of the usual ratio, and its punctuation confirms it: it has less than one sentence end
+    in as many words as a long sentence has. Below ``extreme`` of the usual ratio that confirmation is not asked for but in
+    claims, since full stops may stand between keywords for show. Null texts and null ids are left out, empty texts have no
+    blocks; rows that repeat an id are judged together as one text. Blocks, not texts, are kept between the two passes.
     """
 
     def cut_up(batches):
@@ -161,22 +164,22 @@ def find_stuffed(docs: DataFrame, doc_id: str, text: str, redundant: float = RED
             for d, t in zip(pdf["d"], pdf["t"]):
                 found = blocks(t)
                 if found:
-                    lang, n, ends, sales, size, packed = zip(*found)
-                    rows.append((d, list(lang), list(n), list(ends), list(sales), list(size), list(packed)))
-            yield pd.DataFrame(rows, columns=["d", "lang", "n", "ends", "sales", "size", "packed"])
+                    rows.append((d, *map(list, zip(*found))))
+            yield pd.DataFrame(rows, columns=["d", "lang", "claims", "n", "ends", "size", "packed"])
 
     texts = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
-    found = cut(spread(texts).mapInPandas(cut_up, "d long, lang array<string>, n array<int>, ends array<int>, sales array<boolean>, size array<int>, packed array<int>"), "blocks")
-    rows = found.select("d", F.explode(F.arrays_zip("lang", "n", "ends", "sales", "size", "packed")).alias("b")).select("d", "b.*").where("size > 0")
+    found = cut(spread(texts).mapInPandas(cut_up, "d long, lang array<string>, claims array<boolean>, n array<int>, ends array<int>, size array<int>, packed array<int>"), "blocks")
+    rows = found.select("d", F.explode(F.arrays_zip("lang", "claims", "n", "ends", "size", "packed")).alias("b")).select("d", "b.*").where("size > 0")
     rows = rows.withColumns({"ratio": F.col("packed") / F.col("size"), "length": F.least(F.lit(12.0), F.floor(F.log2("size") * 2) / 2)})
-    prose = rows.where("ends > 0 and not sales")
-    # one row per language and length class: a few dozen
-    usual = prose.groupBy("lang", "length").agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual"), F.count(F.lit(1)).alias("many")).where(F.col("many") >= LEAST_BLOCKS).drop("many")
-    overall = prose.groupBy("length").agg(F.percentile_approx("ratio", 0.5, 1000).alias("overall"))
-    rows = rows.join(F.broadcast(usual), ["lang", "length"], "left").join(F.broadcast(overall), "length", "left")
-    relative = F.col("ratio") / F.coalesce("usual", "overall", F.lit(0.5))
-    # the surer the punctuation is, the less redundancy is asked for
-    limit = F.expr(f"case when sales then 1.2 when ends = 0 and n >= {STRETCH} then 1.1 when ends = 0 and n >= {STRETCH // 2} then 1.0 when ends = 1 and n >= {LONG} then 0.9 end")
-    stuffed = F.coalesce(relative < limit * redundant, F.lit(False))
-    totals = rows.groupBy("d").agg((F.sum(F.when(stuffed, F.col("n")).otherwise(0)) / F.sum("n")).alias("share"), F.sum("n").alias("n"))
-    return totals.where(F.col("n") > 0).where(F.col("share") > share).select(F.col("d").alias(doc_id), "share")
+    prose = rows.where(F.col("n") < F.col("ends") * LONG)
+    median = F.percentile_approx("ratio", 0.5, 1000)
+    # one row per language, kind and length class: a few dozen
+    usual = prose.groupBy("lang", "claims", "length").agg(median.alias("own"), F.count(F.lit(1)).alias("many"))
+    overall = prose.groupBy("length").agg(median.alias("overall"))
+    rows = rows.join(F.broadcast(usual), ["lang", "claims", "length"], "left").join(F.broadcast(overall), "length", "left")
+    many, whole = F.coalesce("many", F.lit(0)), F.coalesce("overall", F.lit(0.5))
+    relative = F.col("ratio") * (many + PRIOR_BLOCKS) / (F.coalesce("own", F.lit(0.0)) * many + whole * PRIOR_BLOCKS)
+    bare = (F.col("ends") * LONG < F.col("n")) & (F.col("n") >= STRETCH // 2)
+    stuffed = F.when(bare, relative < redundant).otherwise(~F.col("claims") & (relative < extreme))
+    totals = rows.groupBy("d").agg((F.sum(F.when(stuffed, F.col("n")).otherwise(0)) / F.sum("n")).alias("share"))
+    return totals.where(F.col("share") > share).select(F.col("d").alias(doc_id), "share")

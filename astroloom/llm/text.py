@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 # Letters of other alphabets that look like Latin ones.
 _LOOKALIKE = str.maketrans("аеорсухіјѕԁһԛԝвкмнтαοειυνρτκ", "aeopcyxijsdhqwbkmhtaoeiuvptk")
-_TAG = re.compile(r"<[^<>]{0,300}>")
+TAG = re.compile(r"</?[^\W\d][^<>]*>|<[!?][^<>]*>")
 _BREAK = re.compile(r"(?<=[^\W\d_])[-­‐‑]\s*\n\s*(?=[^\W\d_])")
 _WORD = re.compile(r"[a-z]+|[^\W\d_a-z]")
 _DAMAGE = re.compile("[ÃÂâãäåæçèéêëìíîïð][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]")
@@ -42,7 +42,7 @@ def repair(text: str) -> str:
 def fold(text: str) -> str:
     """Lower case without markup, accents, soft hyphens and line-break hyphenation."""
     if "<" in text:
-        text = _TAG.sub(" ", text)
+        text = TAG.sub(" ", text)
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():

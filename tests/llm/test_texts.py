@@ -234,7 +234,10 @@ def test_stuffed_pages(spark):
     table = "\n".join(f"Table {i} | {rng.choice(LEXICON)} | {rng.random():.3f}" for i in range(12))
     docs = {i: prose(rng.randrange(60, 500)) for i in range(60)}
     spam = {100: tags, 101: links, 102: prices, 103: prose(30) + "\n" + tags, 104: chat + " " + tags}
-    docs |= spam | {200: prose(400) + "\n" + tags[:300], 201: prose(300) + "\n" + table}
+    spam[105] = chat  # keywords in sentences with full stops
+    claims = " ".join(f"{i}. The {nouns[0]} {nouns[1]} of claim {rng.randrange(1, i)}, wherein the {rng.choice(LEXICON)} has a width of {i} mm." for i in range(2, 40))
+    docs |= spam | {200: prose(400) + "\n" + tags[:300], 201: prose(300) + "\n" + table, 202: prose(60) + "\n" + claims}
+    docs |= {210 + k: prose(200) + "\n" + claims.replace(nouns[0], LEXICON[k]) for k in range(12)}
     rows = [(d, t, "z") for d, t in docs.items()] + [(300, None, "z"), (301, "", "z"), (302, "   ", "z"), (None, tags, "z"), (303, "word " * 30000, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     got = {r["doc_id"] for r in stuffing.find_stuffed(df, "doc_id", "text").collect()}
@@ -245,7 +248,18 @@ def test_stuffed_pages(spark):
 def test_blocks_cover_the_text():
     text = "One short sentence here. " * 40 + "tag " * 300
     found = stuffing.blocks(text)
-    assert 0 <= sum(b[1] for b in found) - len(text.split()) < len(found) and stuffing.blocks("") == []  # a word on a cut counts twice
+    assert 0 <= sum(b[2] for b in found) - len(text.split()) < len(found) and stuffing.blocks("") == []  # a word on a cut counts twice
+
+
+def test_redundancy_decides(spark):
+    """Without sentence ends a text of ever new words is no spam, and without redundancy nothing is."""
+    rng = random.Random(29)
+    prose = [" ".join(f"The {' '.join(make(rng, 9))} of the {rng.choice(LEXICON)}." for _ in range(20)) for _ in range(40)]
+    fresh = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(300))
+    rows = [*enumerate(prose), (100, fresh), (101, "nozzle valve pump " * 100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in stuffing.find_stuffed(df, "doc_id", "text").collect()} == {101}
+    assert stuffing.find_stuffed(df, "doc_id", "text", redundant=0.0, extreme=0.0).count() == 0
 
 
 def test_parts_of_mixed_texts_count_in_their_own_way(spark):
@@ -256,7 +270,7 @@ def test_parts_of_mixed_texts_count_in_their_own_way(spark):
     listed = (han[:6] + "，" + han[6:11] + "，") * 500
     found = stuffing.blocks(latin + listed)
     assert {b[0] for b in found} == {"en", "zh"}
-    assert sum(b[1] for b in found if b[0] == "zh") >= 0.4 * len(listed)
+    assert sum(b[2] for b in found if b[0] == "zh") >= 0.4 * len(listed)
     behind = stuffing.blocks("弹簧轴承" * 600 + "。" + latin * 4)
     assert {"en", "zh"} == {b[0] for b in behind}
     rows = [(i, "".join(f"The {' '.join(make(rng, 9))} of the {rng.choice(LEXICON)}. " for _ in range(30))) for i in range(60)] + [(100, latin + listed), (101, latin)]
