@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -54,12 +55,13 @@ class Items:
     def __init__(self, idents: list[int], texts: list[str], k: int = SEED):
         self.idents, self.k = idents, k
         listed = [words(t or "") for t in texts]
+        self.sizes = sorted({min(k, len(ws)) for ws in listed} - {0})
         self.vocabulary: dict[str, int] = {}
         for ws in listed:
             for w in ws:
                 self.vocabulary.setdefault(w, len(self.vocabulary))
         self.ids = [np.array([self.vocabulary[w] for w in ws], dtype=np.int64) for ws in listed]
-        marks = [fingerprints(a, k) for a in self.ids]
+        marks = [fingerprints(a, min(k, len(a))) if len(a) else np.zeros(0, np.int64) for a in self.ids]
         own = np.concatenate([np.full(len(m), i) for i, m in enumerate(marks)] or [np.zeros(0)]).astype(np.int64)
         self.seeds, inverse = np.unique(np.concatenate(marks or [np.zeros(0, np.int64)]), return_inverse=True)
         self.at = [inverse[own == i] for i in range(len(idents))]
@@ -73,12 +75,18 @@ class Items:
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions, seed numbers) of the seeds in a document."""
-        marks = fingerprints(ids, self.k)
-        if not len(marks) or not len(self.seeds):
+        if not len(ids) or not len(self.seeds):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        place = np.minimum(np.searchsorted(self.seeds, marks), len(self.seeds) - 1)
-        at = np.flatnonzero(self.seeds[place] == marks)
-        return at, place[at]
+        found = []
+        for size in self.sizes:
+            marks = fingerprints(ids, size)
+            if len(marks):
+                place = np.minimum(np.searchsorted(self.seeds, marks), len(self.seeds) - 1)
+                at = np.flatnonzero(self.seeds[place] == marks)
+                found.append(np.stack([at, place[at]]))
+        both = np.concatenate(found or [np.zeros((2, 0), np.int64)], axis=1)
+        both = both[:, np.argsort(both[0], kind="stable")] if len(self.sizes) > 1 else both
+        return both[0], both[1]
 
     def own_seeds(self, held: np.ndarray, many: float) -> list[np.ndarray]:
         """Per item, its seeds that are not shared wording, from the number of texts that hold each seed.
@@ -192,7 +200,7 @@ def coverage(doc: np.ndarray, item: np.ndarray, own: np.ndarray, anchors: np.nda
 
 def _covered(doc: np.ndarray, item: np.ndarray, own: np.ndarray) -> float:
     covered, used = np.zeros(len(item), dtype=bool), np.zeros(len(doc), dtype=bool)
-    tiles = tile(doc, item)
+    tiles = tile(doc, item, min(SEED, len(item)))
     for i, j, n in tiles:
         covered[j : j + n] = True
         used[i : i + n] = True
@@ -214,16 +222,14 @@ def _covered(doc: np.ndarray, item: np.ndarray, own: np.ndarray) -> float:
     return float((covered & own).sum() / own.sum())
 
 
-def _passes(items: DataFrame, item_id: str, item_text: str) -> list[Items]:
-    """The items in groups of at most ITEM_WORDS words (one group for any usual test set); rows with nulls are left out."""
+def _passes(items: DataFrame, item_id: str, item_text: str) -> Iterator[Items]:
+    """The items in groups of at most ITEM_WORDS words (one group for any usual test set), one at a time; rows with nulls are left out."""
     good = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
     size = good.agg(F.coalesce(F.sum(F.length("t") / 4), F.lit(0))).first()[0]
     groups = max(1, int(-(-size // ITEM_WORDS)))
-    out = []
     for g in range(groups):
         part = good.where(F.pmod(F.xxhash64("i"), F.lit(groups)) == g).dropDuplicates().orderBy("i").toPandas()
-        out.append(Items(part["i"].tolist(), part["t"].tolist()))
-    return out
+        yield Items(part["i"].tolist(), part["t"].tolist())
 
 
 def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, cover: float = COVER, common: float = COMMON) -> DataFrame:
@@ -232,19 +238,19 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     Words are compared in lower case without accents, markup, digits and punctuation. An item's own words lie in
     seeds of three words that at most ``common`` of all distinct texts hold, or that no more texts hold than hold the
     rest of the item; what stands out from it is shared wording and not counted. Texts of equal words count once, so
-    copies of a text that holds an item do not make it shared. An item of less than three words is never
-    reported. A document is tiled with an item if it holds some of the
+    copies of a text that holds an item do not make it shared. An item of one or two words is found
+    where exactly these stand together; one without words is never reported. A document is tiled with an item if it holds some of the
     item's own seeds; the tiles must lie close together, in any order, and single words may differ. Null and empty
     texts hold nothing; rows that repeat a document id count as one document each and give one row per item.
 
-    The items are a stated set of bounded size per pass (ITEM_WORDS); they travel to the workers with the task. The
+    The items are a stated set of bounded size per pass (ITEM_WORDS); they travel to the workers with the task, one pass at a time. The
     documents stay where they are: one pass finds the seeds in all texts and keeps places only; counts over
     all documents tell the shared wording; a second read tiles the few documents that are candidates.
     """
-    results = [_find(docs, doc_id, text, group, cover, common) for group in _passes(items, item_id, item_text)]
-    out = results[0]
-    for more in results[1:]:
-        out = out.unionByName(more)
+    out = None
+    for group in _passes(items, item_id, item_text):
+        found = _find(docs, doc_id, text, group, cover, common)
+        out = found if out is None else out.unionByName(found)
     return out.withColumnsRenamed({"d": doc_id, "i": item_id})
 
 
@@ -273,10 +279,11 @@ def _find(docs: DataFrame, doc_id: str, text: str, items: Items, cover: float, c
     held = np.zeros(len(items.seeds), dtype=np.int64)
     held[counted["s"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
     own = items.own_seeds(held, many)
-    needed = np.array([max(CANDIDATE_LEAST, int(np.ceil(CANDIDATE * len(seeds)))) if len(seeds) else 1 << 30 for seeds in own])
+    needed = np.array([min(len(seeds), max(CANDIDATE_LEAST, int(np.ceil(CANDIDATE * len(seeds))))) if len(seeds) else 1 << 30 for seeds in own])
     told = spark.sparkContext.broadcast((own, items.own_words(own), needed))
     items.keep(own)
     shared = spark.sparkContext.broadcast(items)
+    index.unpersist()
 
     def choose(batches):
         items, (_, _, needed) = shared.value, told.value
@@ -308,4 +315,8 @@ def _find(docs: DataFrame, doc_id: str, text: str, items: Items, cover: float, c
             yield pd.DataFrame(rows, columns=["d", "i", "coverage"])
 
     tiled = texts.join(candidates, "d").mapInPandas(check, "d long, i long, coverage double")
-    return tiled.groupBy("d", "i").agg(F.max("coverage").alias("coverage"))
+    found = cut(tiled.groupBy("d", "i").agg(F.max("coverage").alias("coverage")), "leaks")
+    # written, so a later pass does not keep the items of this one on the workers
+    for sent in (told, shared):
+        sent.unpersist()
+    return found

@@ -148,7 +148,7 @@ def corpus(spark):
     want |= {(1006, 105), (1006, 100)}
     rows = [(d, t, "c") for d, t in docs.items()] + [(1000, docs[1000], "c"), (2000, None, "c"), (2001, "", "c"), (None, docs[1000], "c"), (2002, sentence(make(rng, 60000)), "c")]
     table = spark.createDataFrame(rows, "doc_id long, text string, which string").repartition(4)
-    held = spark.createDataFrame([(i, sentence(w), "c") for i, w in items.items()] + [(300, None, "c"), (301, "", "c"), (302, "two words", "c"), (None, "a b c d", "c")], "item_id long, text string, t string")
+    held = spark.createDataFrame([(i, sentence(w), "c") for i, w in items.items()] + [(300, None, "c"), (301, "", "c"), (302, "qqq www", "c"), (None, "a b c d", "c")], "item_id long, text string, t string")
     return table, held, want
 
 
@@ -212,6 +212,24 @@ def test_wide_leaks_are_no_shared_wording(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("copies", [1, 10, 11, 100, 600])
+def test_any_number_of_copies(spark, copies):
+    rng = random.Random(31)
+    held = make(rng, 45)
+    rows = [(d, sentence(make(rng, 150))) for d in range(200)] + [(1000 + d, sentence(make(rng, 60) + held + make(rng, 30))) for d in range(copies)]
+    items = spark.createDataFrame([(1, sentence(held))], "item_id long, text string")
+    got = leakage.find_leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "doc_id", "text", items, "item_id", "text").collect()
+    assert {r["doc_id"] for r in got} == {1000 + d for d in range(copies)} and len(got) == copies
+
+
+def test_items_of_few_words(spark):
+    held = {1: "alpha", 2: "beta gamma", 3: "delta epsilon zeta", 4: "eta theta iota kappa", 5: "", 6: "12"}
+    rows = [(1, "An Alpha here."), (2, "Beta, gamma and delta."), (3, "gamma beta; delta epsilon zeta"), (4, "so eta theta iota kappa goes"), (5, "delta epsilon"), (6, "12 none")]
+    items = spark.createDataFrame(list(held.items()), "item_id long, text string")
+    got = leakage.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", items, "item_id", "text").collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (2, 2), (3, 3), (4, 4)}
+
+
 # stuffed pages
 
 
