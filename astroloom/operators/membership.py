@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from astroloom.operators.groups import ptype_rank
-from astroloom.operators.hierarchy import Forest
+from astroloom.operators.hierarchy import Forest, paths
 from astroloom.operators.skew import skew_join
 from astroloom.tables import cut
 
@@ -111,8 +111,8 @@ def inclusive(members: DataFrame, group: str, forest: Forest) -> DataFrame:
 
     The paths of the forest give the ancestors; the output is as large as the sum of depths over members.
     """
-    paths = forest.nodes.where("path is not null").select(F.col("id").alias(group), "path")
-    return skew_join(members, paths, [group], "pidx").withColumn(group, F.explode("path")).drop("path")
+    chains = paths(forest).withColumnRenamed("id", group)
+    return skew_join(members, chains, [group], "pidx").withColumn(group, F.explode("path")).drop("path")
 
 
 def plurality(members: DataFrame, group: str, vote: str, order: list[str]) -> DataFrame:
@@ -151,8 +151,8 @@ def remap(groups: DataFrame, pointer: str, ident: str, row: str, name: str) -> D
 
 def galaxy_parents(galaxies: DataFrame, galaxy: str, halo: str, forest: Forest) -> DataFrame:
     """(halo, galaxy) for the galaxies of every halo and of all halos below it."""
-    paths = forest.nodes.where("path is not null").select(F.col("id").alias(halo), "path")
-    return galaxies.select(galaxy, halo).join(paths, halo).select(F.explode("path").alias(halo), galaxy)
+    chains = paths(forest).withColumnRenamed("id", halo)
+    return galaxies.select(galaxy, halo).join(chains, halo).select(F.explode("path").alias(halo), galaxy)
 
 
 def member_order() -> list[Column]:

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from astroloom.operators.hierarchy import resolve_forest
+from astroloom.operators.hierarchy import descendants, resolve_forest
 from astroloom.operators.membership import order_groups, remap
 from astroloom.plans.stages import declared_columns, fill_lists
 
@@ -119,12 +119,12 @@ class Catalogue:
     def subhaloes(self, row: int) -> DataFrame:
         """Rows of all haloes below a halo."""
         self._check(self.haloes, row)
-        return self._forest().nodes.where((F.array_contains("path", row)) & (F.col("id") != row)).select(F.col("id").alias("row"))
+        return descendants(self._forest(), F.col("id") == row).select(F.col("descendant").alias("row"))
 
     def galaxies_of(self, row: int) -> DataFrame:
         """Rows of the galaxies in a halo or below it; the first is the central one."""
         self._check(self.haloes, row)
-        below = self._forest().nodes.where(F.array_contains("path", row)).select(F.col("id").alias("parent_halo_index"))
+        below = self.subhaloes(row).unionByName(self.spark.range(row, row + 1).toDF("row")).withColumnRenamed("row", "parent_halo_index")
         return self.galaxies.df.join(below, "parent_halo_index", "left_semi").select("row").orderBy("row")
 
     def member_data(self, particles: DataFrame, kind: str, rows: list[int], ptype: str, column: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from astroloom.operators.hierarchy import descendants, resolve_forest
+from astroloom.operators.hierarchy import descendants, paths, resolve_forest
 from astroloom.operators.skew import first_reaching, skew_join
 from astroloom.operators.units import conflicting_pairs, to_code_units
 from astroloom.tables import NO_HALO, cut, in_halo, latest, table
@@ -24,16 +24,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflicting_pairs(values, ["run_id", "snap_id", "object_id", "quantity"], "rec_id", "code_value", 0.05)
 
 
-def _forest(spark: SparkSession, sf_dir: str):
+def _forest(spark: SparkSession, sf_dir: str, tour: bool = True):
     rows = cut(latest(table(spark, sf_dir, "subhaloes", "sub_id", "run_id", "parent_index", "depth", "host_field_id", "updated_at"), "sub_id", "updated_at"), "subhaloes")
-    return rows, resolve_forest(rows, "sub_id", "parent_index", NO_HALO)
+    return rows, resolve_forest(rows, "sub_id", "parent_index", NO_HALO, tour)
 
 
 def p4_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every subhalo with kind, top level and its host, real depth, path, descendant count and tour interval."""
     rows, forest = _forest(spark, sf_dir)
     hosts = rows.select(F.col("sub_id").alias("root"), F.col("host_field_id").alias("root_host"))
-    return forest.nodes.join(hosts, "root", "left").select(
+    return forest.nodes.join(hosts, "root", "left").join(paths(forest), "id", "left").select(
         F.col("id").alias("sub_id"), "kind", F.col("root").alias("top_id"), "root_host", F.col("depth").alias("real_depth"),
         F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), (F.col("size") - 1).alias("n_descendants"), "position",
     )
@@ -53,7 +53,7 @@ def p4_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subhaloes on or below circles, orphans, and wrong recorded depths and hosts."""
-    rows, forest = _forest(spark, sf_dir)
+    rows, forest = _forest(spark, sf_dir, tour=False)
     nodes = forest.nodes.select(F.col("id").alias("sub_id"), "kind", "root", F.col("depth").alias("real_depth"))
     own = nodes.join(rows.select("sub_id", "depth", "host_field_id"), "sub_id")
     hosts = rows.select(F.col("sub_id").alias("root"), F.col("host_field_id").alias("root_host"))

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from astroloom.operators.hierarchy import descendants, resolve_forest
+from astroloom.operators.hierarchy import descendants, paths, resolve_forest
 from pyspark.sql import functions as F
 
 
@@ -30,7 +30,8 @@ def brute(parents):
 def check(spark, parents, top=-1):
     df = spark.createDataFrame([(k, top if v is None else v, "x") for k, v in parents.items()], "id long, parent long, path string")
     forest = resolve_forest(df, "id", "parent", top)
-    got = {r["id"]: r for r in forest.nodes.collect()}
+    listed = {r["id"]: r["path"] for r in paths(forest).collect()}
+    got = {r["id"]: r | {"path": listed.get(r["id"])} for r in (x.asDict() for x in forest.nodes.collect())}
     want = brute(parents)
     assert set(got) == set(want)
     below = {}
@@ -61,6 +62,17 @@ def test_mixed_forest(spark):
     check(spark, parents)
 
 
+def test_rounds_and_the_last_task_agree(spark, monkeypatch):
+    from astroloom.operators import hierarchy
+
+    rng = random.Random(8)
+    parents = {i: None if i < 2 else rng.randrange(max(0, i - 3), i) for i in range(50)}
+    parents |= {100: 101, 101: 102, 102: 100, 103: 100, 104: 103, 105: 105, 106: 105, 200: 999, 201: 200}
+    for rows in (0, 12):
+        monkeypatch.setattr(hierarchy, "TASK_ROWS", rows)
+        check(spark, parents)
+
+
 def test_deep_chain_and_star(spark):
     parents = {i: i - 1 if i else None for i in range(150)}
     parents |= {1000 + i: 75 for i in range(300)}
