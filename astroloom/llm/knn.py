@@ -1,13 +1,15 @@
 """Most similar vectors by learned partitions (problem 2).
 
 A bounded sample gives a neighbour graph; the graph is cut into balanced parts; a small network learns to name the
-part of a vector. Every row is stored in its most probable part, a query is sent to several probable parts and
-reranked there. Boxes around the stored parts then tell which further parts could hold a nearer row; those are
-visited too, so the result is exact, and the network decides only how little has to be visited.
+part of a vector. Parts that hold many rows are divided again in the same way, each by a network of its own. Every row
+is stored in its most probable part, a query is sent to several probable parts and reranked there. Boxes around the
+stored parts then tell which further parts could hold a nearer row; those are visited too, so the result is exact, and
+the networks decide only how little has to be visited.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,13 +21,19 @@ from astroloom.tables import cut
 
 #: Rows on which the index is fitted at most (it indexes every row).
 FIT_ROWS = 16384
-#: Rows that a part should hold, and the largest number of parts.
-PART_ROWS = 2000
+#: Rows that a part should hold, and the largest number of parts of one network.
+PART_ROWS = 1000
 MAX_PARTS = 256
-#: Probable parts that a query is sent to at first.
+#: A part of more rows is divided again, by a network fitted on about so many of its rows.
+SPLIT_ROWS = 8000
+SUB_ROWS = 4096
+#: Probable parts that a query is sent to at first, and probable divisions in each of them.
 PROBES = 4
+SUB_PROBES = 2
 #: Rows of a part, and queries of a part, that meet in one task at most.
 BLOCK_ROWS = 8192
+#: Boxes (a few hundred bytes each) that are broadcast at most.
+BROADCAST_BOXES = 100_000
 
 
 def neighbour_graph(points: np.ndarray, degree: int = 10) -> np.ndarray:
@@ -175,7 +183,7 @@ def _in_parts(visits: DataFrame, points: DataFrame, space: list[str], dims: list
     A part of any size is cut into blocks of points and its queries into chunks; a query goes to all blocks of
     its part, a point to all chunks, and each pair of block and chunk is one bounded group.
     """
-    key = [*space, "part"]
+    key = [*space, "part", "sub"]
     asked = visits.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("chunks"))
     plan = blocks.join(asked, key)
     chunk = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
@@ -186,7 +194,28 @@ def _in_parts(visits: DataFrame, points: DataFrame, space: list[str], dims: list
     return q.groupBy(*group).cogroup(p.groupBy(*group)).applyInPandas(_nearest(k, dims), "id long, near long, distance double")
 
 
-def nearest(rows: DataFrame, ident: str, space: list[str], vector: list[Column], wanted: Column, k: int = 10, probes: int = PROBES, complete: bool = True, fit_rows: int = FIT_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
+def _divide(rows: DataFrame, routers: DataFrame, key: list[str], dims: list[str]) -> DataFrame:
+    """``rows`` (key, id, dims) with ``subs``, their probable divisions of the part ``key`` names; [0] for parts of one piece.
+
+    A part's network (one row of ``routers``) meets its rows in salted groups of about BLOCK_ROWS, so no part gathers in a task.
+    """
+    salted = rows.join(routers.select(*key, "salts"), key, "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("salts"))))
+    plain = salted.where("salt is null").drop("salts", "salt").withColumn("subs", F.array(F.lit(0)))
+    spread = routers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    columns = [*key, "id", *dims]
+    fields = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*columns).schema.fields), "subs array<int>"])
+
+    def order(pdf: pd.DataFrame, net: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(net):
+            return pd.DataFrame({c: [] for c in (*columns, "subs")})
+        return pdf[columns].assign(subs=list(pickle.loads(net["net"].iloc[0]).order(pdf[dims].to_numpy(), SUB_PROBES)))
+
+    group = [*key, "salt"]
+    left, right = (side.select(*[F.col(c).alias(c) for c in side.columns]) for side in (salted.where("salt is not null").drop("salts"), spread))
+    return plain.select(*columns, "subs").unionByName(left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(order, fields))
+
+
+def nearest(rows: DataFrame, ident: str, space: list[str], vector: list[Column], wanted: Column, k: int = 10, probes: int = PROBES, complete: bool = True, fit_rows: int = FIT_ROWS, part_rows: int = PART_ROWS, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """(``id``, ``near``, ``distance``, ``rank``): the ``k`` nearest other rows of every row that meets ``wanted``.
 
     ``rows`` holds one row per ``ident``; rows of different ``space`` columns never meet; ``vector`` lists the scaled
@@ -196,7 +225,8 @@ def nearest(rows: DataFrame, ident: str, space: list[str], vector: list[Column],
     probable parts are visited and a neighbour may be missed (approximate mode).
 
     The index is fitted on at most ``fit_rows`` rows (hash sample, collected to the driver: the bound is this
-    parameter) and stores every row.
+    parameter) and stores every row. Parts of more than ``split_rows`` rows are divided by networks that are fitted where the
+    rows are, on about SUB_ROWS of each part; so the rows that a query meets do not grow with the table.
     """
     dims = [f"v{i}" for i in range(len(vector))]
     spaces = [f"s{i}" for i in range(len(space))]
@@ -207,7 +237,8 @@ def nearest(rows: DataFrame, ident: str, space: list[str], vector: list[Column],
     total = points.count()
     classes = max(1, -(-total // fit_rows))
     sample = points.where(F.pmod(F.xxhash64("id"), F.lit(classes)) == 0).orderBy(F.xxhash64("id")).limit(fit_rows).select("id", *dims).toPandas().sort_values("id")
-    router = fit_router(sample[dims].to_numpy(dtype=float).reshape(-1, len(dims)), min(MAX_PARTS, total // part_rows, len(sample) // 16)) if len(sample) else fit_router(np.zeros((1, len(dims))), 1)
+    parts = max(1, min(MAX_PARTS, -(-total // part_rows), len(sample) // 16))
+    router = fit_router(sample[dims].to_numpy(dtype=float).reshape(-1, len(dims)), parts) if len(sample) else fit_router(np.zeros((1, len(dims))), 1)
     shared = points.sparkSession.sparkContext.broadcast(router)
 
     def route(batches):
@@ -218,22 +249,50 @@ def nearest(rows: DataFrame, ident: str, space: list[str], vector: list[Column],
     fields = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields), "parts array<int>"])
     routed = cut(points.mapInPandas(route, fields), "routed")
     stored = routed.select("id", *spaces, F.element_at("parts", 1).alias("part"), *dims)
+    queries = routed.where("wanted")
+    first = queries.select("id", *spaces, F.explode("parts").alias("part"), *dims)
     key = [*spaces, "part"]
+    large = cut(stored.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split_rows), "large")
+    if large.isEmpty():
+        stored, first = (side.withColumn("sub", F.lit(0)) for side in (stored, first))
+        visited = queries.withColumn("visited", F.transform("parts", lambda p: F.struct(p.alias("part"), F.lit(0).alias("sub"))))
+    else:
+
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("id", kind="stable")
+            many = int(pdf["n"].iloc[0])
+            net = fit_router(pdf[dims].to_numpy(dtype=float), max(1, min(MAX_PARTS, -(-many // part_rows), len(pdf) // 16)), hidden=32)
+            return pdf[key].iloc[:1].assign(net=[pickle.dumps(net)], salts=[-(-many // BLOCK_ROWS)])
+
+        picked = stored.join(large, key).where(F.pmod(F.xxhash64(F.lit(3), "id"), F.ceil(F.col("n") / SUB_ROWS)) == 0)
+        fields = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in stored.select(*key).schema.fields), "net binary", "salts int"])
+        routers = cut(picked.groupBy(*key).applyInPandas(fit, fields), "routers")
+        stored = cut(_divide(stored, routers, key, dims).withColumn("sub", F.element_at("subs", 1)).drop("subs"), "stored")
+        first = cut(_divide(first, routers, key, dims).withColumn("sub", F.explode("subs")).drop("subs"), "first")
+        seen = first.groupBy("id").agg(F.collect_list(F.struct("part", "sub")).alias("visited"))
+        visited = queries.join(seen, "id")
+    key = [*key, "sub"]
     boxes = cut(stored.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"), *[f(d).alias(f"{n}{d}") for d in dims for f, n in ((F.min, "l"), (F.max, "h"))]), "boxes")
     blocks = boxes.select(*key, "blocks")
-    queries = routed.where("wanted")
-    first = queries.select("id", *spaces, F.explode("parts").alias("part"), *dims)
     found = _in_parts(first, stored, spaces, dims, k, blocks)
     best = Window.partitionBy("id").orderBy("distance", "near")
     found = cut(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "found")
     if complete:
         reach = found.groupBy("id").agg(F.max("distance").alias("reach"), F.count(F.lit(1)).alias("n"))
-        asked = queries.join(reach, "id", "left")
+        asked = visited.join(reach, "id", "left").select("id", *spaces, *dims, "visited", F.when(F.col("n") >= k, F.col("reach") * (1 + 1e-9)).alias("reach"))
         gap = lambda d: F.greatest(F.col(f"l{d}") - F.col(d), F.col(d) - F.col(f"h{d}"), F.lit(0.0))
         square = sum((gap(d) * gap(d) for d in dims), F.lit(0.0))
-        # at most MAX_PARTS boxes per space; each query is held against those of its own space
-        more = asked.join(boxes, spaces).where(~F.array_contains("parts", F.col("part")))
-        more = more.where(F.col("n").isNull() | (F.col("n") < k) | (F.sqrt(square) <= F.col("reach") * (1 + 1e-9)))
-        more = cut(more.select("id", *spaces, "part", *dims), "visits")
+        near = F.col("reach").isNull() | (F.sqrt(square) <= F.col("reach"))
+        sides = [f"{n}{d}" for d in dims for n in "lh"]
+        # first the boxes of whole parts, at most MAX_PARTS per space, then those of the divisions of the parts within reach
+        whole = boxes.groupBy(*spaces, "part").agg(*[(F.min if c[0] == "l" else F.max)(c).alias(c) for c in sides])
+        more = asked.join(_small(whole), spaces).where(near).drop(*sides).join(_small(boxes), [*spaces, "part"])
+        more = more.where(near & ~F.array_contains("visited", F.struct(F.col("part").alias("part"), F.col("sub").alias("sub"))))
+        more = cut(more.select("id", *spaces, "part", "sub", *dims), "visits")
         found = found.drop("rank").unionByName(_in_parts(more, stored, spaces, dims, k, blocks)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return found
+
+
+def _small(boxes: DataFrame) -> DataFrame:
+    """``boxes`` to be broadcast if they are counted to be few, so a space with most queries needs no exchange; else as they are."""
+    return F.broadcast(boxes) if boxes.count() <= BROADCAST_BOXES else boxes

@@ -32,34 +32,58 @@ def p2_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("write_key"), F.col("near").alias("near_key"), "rank", "distance")
 
 
+def p2_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per run the number of near points and whether the probable parts alone name at least nine tenths of them."""
+    rows = _phase_space(spark, sf_dir)
+    exact = knn.nearest(rows, "write_key", ["run_id"], _vector(), F.col("ptype_code") == 5, 10).select("id", "near")
+    rough = knn.nearest(rows, "write_key", ["run_id"], _vector(), F.col("ptype_code") == 5, 10, complete=False).select("id", "near", F.lit(1).alias("hit"))
+    runs = rows.select(F.col("write_key").alias("id"), "run_id")
+    both = exact.join(rough, ["id", "near"], "left").join(runs, "id")
+    return both.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_near"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count(F.lit(1))).alias("recalled"))
+
+
 def _halo_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = latest(table(spark, sf_dir, "particles", "particle_id", "run_id", "haloid", "mass", "pos", "slab", "ingested_at"), "particle_id", "ingested_at").where(in_halo())
     rows = cut(rows.select("particle_id", "run_id", "haloid", "slab", F.to_date("ingested_at").alias("day"), "mass", F.get("pos", F.lit(0)).alias("pos_x")), "members")
     return rows.unpivot(["particle_id", "run_id", "haloid", "slab", "day"], ["mass", "pos_x"], "quantity", "value")
 
 
+def _bounds(rows: DataFrame, keys: list[str], qs: list[int]) -> DataFrame:
+    """Percentile bounds per halo, from sketches per slab and day that are merged afterwards."""
+    parts = percentiles.sketch(rows, [*keys, "slab", "day"], "value")
+    return percentiles.percentiles(percentiles.merge(parts, keys), keys, qs)
+
+
+def _refined(rows: DataFrame, bounds: DataFrame, keys: list[str], qs: list[int]) -> DataFrame:
+    """Keys and exact ``p<q>``, from the rows of the wanted buckets only."""
+    listed = [F.struct(F.lit(q).alias("q"), F.col(f"p{q}_bucket").alias("bucket"), F.col(f"p{q}_at").alias("at"), F.col(f"p{q}_low").alias("least"), F.col(f"p{q}_high").alias("most")) for q in qs]
+    wanted = bounds.select(*keys, F.explode(F.array(*listed)).alias("w")).select(*keys, "w.*")
+    exact = percentiles.exact(rows, keys, "value", wanted, "particle_id")
+    return exact.groupBy(*keys).agg(*[F.max(F.when(F.col("q") == q, F.col("exact"))).alias(f"p{q}") for q in qs])
+
+
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles per halo from sketches per slab and day that are merged afterwards."""
-    keys = ["run_id", "haloid", "quantity"]
-    parts = percentiles.sketch(_halo_values(spark, sf_dir), [*keys, "slab", "day"], "value")
-    qs = [10, 50, 90]
-    return percentiles.percentiles(percentiles.merge(parts, keys), keys, qs).select(*keys, "n", *[f"p{q}{x}" for q in qs for x in ("", "_low", "_high")])
+    """Percentiles per halo: ranks from merged sketches, exact values of the wanted buckets, and whether the sketch kept its error."""
+    keys, qs = ["run_id", "haloid", "quantity"], [10, 50, 90]
+    rows = _halo_values(spark, sf_dir)
+    bounds = cut(_bounds(rows, keys, qs), "bounds")
+    exact = _refined(rows, bounds, keys, qs)
+    rough = bounds.select(*keys, "n", *[F.col(f"p{q}").alias(f"rough{q}") for q in qs])
+    kept = [F.abs(F.col(f"rough{q}") - F.col(f"p{q}")) <= percentiles.ALPHA * 1.0001 * F.abs(F.col(f"p{q}")) for q in qs]
+    return rough.join(exact, keys).select(*keys, "n", *[f"p{q}" for q in qs], (kept[0] & kept[1] & kept[2]).alias("within_error"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Haloes with a heavy upper tail in mass or a lopsided x position."""
-    keys = ["run_id", "haloid", "quantity"]
+    keys, qs = ["run_id", "haloid", "quantity"], [10, 50, 90]
     rows = _halo_values(spark, sf_dir)
-    bounds = percentiles.percentiles(percentiles.sketch(rows, keys, "value"), keys, [10, 50, 90]).where("n >= 40")
+    bounds = _bounds(rows, keys, qs).where("n >= 40")
     mass = F.col("quantity") == "mass"
     sure = F.when(mass, F.col("p90_low") >= 3 * F.col("p50_high")).otherwise(F.col("p90_low") - F.col("p50_high") >= 4 * (F.col("p50_high") - F.col("p10_low")))
     never = F.when(mass, F.col("p90_high") < 3 * F.col("p50_low")).otherwise(F.col("p90_high") - F.col("p50_low") < 4 * (F.col("p50_low") - F.col("p10_high")))
     bounds = cut(bounds.withColumn("verdict", F.when(sure, "yes").when(never, "no").otherwise("open")), "bounds")
     # where the bounds do not decide, the exact values of the wanted buckets do
-    near = bounds.where("verdict = 'open'")
-    wanted = near.select(*keys, F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"p{q}_bucket").alias("bucket"), F.col(f"p{q}_at").alias("at"), F.col(f"p{q}_low").alias("least"), F.col(f"p{q}_high").alias("most")) for q in (10, 50, 90)])).alias("w")).select(*keys, "w.*")
-    exact = percentiles.exact(rows, keys, "value", wanted, "particle_id")
-    wide = exact.groupBy(*keys).agg(*[F.max(F.when(F.col("q") == q, F.col("exact"))).alias(f"p{q}") for q in (10, 50, 90)])
+    wide = _refined(rows, bounds.where("verdict = 'open'"), keys, qs)
     holds = F.when(mass, F.col("p90") >= 3 * F.col("p50")).otherwise(F.col("p90") - F.col("p50") >= 4 * (F.col("p50") - F.col("p10")))
     return bounds.where("verdict = 'yes'").select(*keys).unionByName(wide.where(holds).select(*keys))
 
@@ -101,6 +125,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_approximate": p2_approximate,
+    "p2_recall": p2_recall,
     "p3_found": p3_found,
     "p3_percentiles": p3_percentiles,
     "p6_found": p6_found,
@@ -118,25 +143,30 @@ _GALAXIES = "WITH latest AS (" + _LATEST.format(key="galaxy_id", stamp="written_
   WHERE mass_baryon IS NOT NULL AND NOT isnan(mass_baryon)
 )"""
 
-ORACLE: dict[str, str] = {
-    "p2_found": "WITH latest AS (" + _LATEST.format(key="write_key", stamp="read_at", table="fof6d_points") + """), good AS (
+_NEAR = "WITH latest AS (" + _LATEST.format(key="write_key", stamp="read_at", table="fof6d_points") + """), good AS (
   SELECT write_key AS id, run_id, ptype_code, pos[1] AS x, pos[2] AS y, pos[3] AS z, vel[1]*0.05 AS u, vel[2]*0.05 AS v, vel[3]*0.05 AS w FROM latest
   WHERE len(pos) = 3 AND len(vel) = 3 AND isfinite(pos[1]) AND isfinite(pos[2]) AND isfinite(pos[3]) AND isfinite(vel[1]) AND isfinite(vel[2]) AND isfinite(vel[3])
 ), pairs AS (
-  SELECT a.id, b.id AS near, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)+(a.u-b.u)*(a.u-b.u)+(a.v-b.v)*(a.v-b.v)+(a.w-b.w)*(a.w-b.w)) AS d
+  SELECT a.id, b.id AS near, a.run_id, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)+(a.u-b.u)*(a.u-b.u)+(a.v-b.v)*(a.v-b.v)+(a.w-b.w)*(a.w-b.w)) AS d
   FROM good a JOIN good b ON a.run_id = b.run_id AND a.id <> b.id WHERE a.ptype_code = 5
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, near) AS k FROM pairs)
-SELECT DISTINCT least(id, near) AS write_key_lo, greatest(id, near) AS write_key_hi FROM ranked WHERE k <= 10""",
-    "p3_found": "WITH latest AS (" + _LATEST.format(key="particle_id", stamp="ingested_at", table="particles") + """), vals AS (
+"""
+_PERCENTILES = "WITH latest AS (" + _LATEST.format(key="particle_id", stamp="ingested_at", table="particles") + """), vals AS (
   SELECT run_id, haloid, 'mass' AS quantity, mass AS value FROM latest WHERE haloid IS NOT NULL AND haloid <> -1
   UNION ALL SELECT run_id, haloid, 'pos_x', pos[1] FROM latest WHERE haloid IS NOT NULL AND haloid <> -1
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY run_id, haloid, quantity ORDER BY value) AS r, count(*) OVER (PARTITION BY run_id, haloid, quantity) AS n
   FROM vals WHERE value IS NOT NULL AND isfinite(value)
 ), ps AS (
-  SELECT run_id, haloid, quantity, max(CASE WHEN r = (10*n+99)//100 THEN value END) AS p10, max(CASE WHEN r = (50*n+99)//100 THEN value END) AS p50, max(CASE WHEN r = (90*n+99)//100 THEN value END) AS p90
-  FROM ranked WHERE n >= 40 GROUP BY ALL
-) SELECT run_id, haloid, quantity FROM ps WHERE (quantity = 'mass' AND p90 >= 3*p50) OR (quantity = 'pos_x' AND p90-p50 >= 4*(p50-p10))""",
+  SELECT run_id, haloid, quantity, n, max(CASE WHEN r = (10*n+99)//100 THEN value END) AS p10, max(CASE WHEN r = (50*n+99)//100 THEN value END) AS p50, max(CASE WHEN r = (90*n+99)//100 THEN value END) AS p90
+  FROM ranked GROUP BY ALL
+) """
+
+ORACLE: dict[str, str] = {
+    "p2_found": _NEAR + "SELECT DISTINCT least(id, near) AS write_key_lo, greatest(id, near) AS write_key_hi FROM ranked WHERE k <= 10",
+    "p2_recall": _NEAR + "SELECT run_id, count(*) AS n_near, true AS recalled FROM ranked WHERE k <= 10 GROUP BY run_id",
+    "p3_found": _PERCENTILES + "SELECT run_id, haloid, quantity FROM ps WHERE n >= 40 AND ((quantity = 'mass' AND p90 >= 3*p50) OR (quantity = 'pos_x' AND p90-p50 >= 4*(p50-p10)))",
+    "p3_percentiles": _PERCENTILES + "SELECT run_id, haloid, quantity, n, p10, p50, p90, true AS within_error FROM ps",
     "p6_found": _GALAXIES + " SELECT run_id, haloid, galaxy_id FROM ranked WHERE k <= 5",
     "p6_stale_centrals": _GALAXIES + """ SELECT g.galaxy_id, g.central_galaxy_index, r.galaxy_id AS central
 FROM good g JOIN ranked r ON g.run_id = r.run_id AND g.haloid = r.haloid AND r.k = 1 WHERE g.central_galaxy_index <> r.galaxy_id""",

@@ -94,9 +94,10 @@ def top_n(items: DataFrame, groups: list[str], ident: str, score: str, n: int =
     hot = cut(heavy_keys(good, groups, "__id", share).select(*groups), "hot")
     stats = cut(good.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.min("__code").alias("low"), F.max("__code").alias("high")), "stats")
     marked = good.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), groups, "left").withColumn("__hot", F.coalesce("__hot", F.lit(False)))
-    # groups within n items are whole; their rows are few per group, so none of them is hot unless n is
+    # groups within n items are whole; where n rows are more than a hot group's share, they meet by broadcast
     small = stats.where(F.col("n") <= n).select(*groups)
-    whole = marked.join(small, groups, "left_semi")
+    hot_small = F.broadcast(small.join(F.broadcast(hot), groups, "left_semi"))
+    whole = marked.where("not __hot").join(small, groups, "left_semi").unionByName(marked.where("__hot").join(hot_small, groups, "left_semi"))
     big = stats.where(F.col("n") > n)
     need = big.where("low < high").select(*groups, F.lit(n).cast("long").alias("wanted"), "low", "high")
     level = big.where("low = high").select(*groups, F.lit(n).cast("long").alias("still"))

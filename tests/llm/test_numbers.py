@@ -104,6 +104,9 @@ def test_nearest_is_exact(vectors, monkeypatch):
     assert run(df) == want
     monkeypatch.setattr(knn, "BLOCK_ROWS", 64)
     assert run(df) == want
+    assert run(df, split_rows=150) == want  # parts that are divided again
+    monkeypatch.setattr(knn, "BROADCAST_BOXES", 0)
+    assert run(df, split_rows=150) == want
 
 
 def test_probable_parts_have_recall(vectors):
@@ -112,6 +115,8 @@ def test_probable_parts_have_recall(vectors):
     got = run(df, complete=False, probes=4)
     hits = sum(len(set(got.get(i, [])) & set(w)) for i, w in want.items())
     assert hits >= 0.9 * sum(map(len, want.values()))
+    got = run(df, complete=False, probes=4, split_rows=300)
+    assert sum(len(set(got.get(i, [])) & set(w)) for i, w in want.items()) >= 0.9 * sum(map(len, want.values()))
 
 
 def test_no_vectors(vectors):
