@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_left, insort
 from collections import deque
 from functools import lru_cache
@@ -15,7 +16,8 @@ from astroloom.llm.text import spread
 from astroloom.tables import cut
 
 CAPACITY = 2048
-VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: Where the vocabulary lies unless ``path`` or the environment variable ASTROLOOM_VOCABULARY names another file.
+VOCABULARY = os.environ.get("ASTROLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Containers per window, and tokens per shard. A shard is packed by one task; only lengths are shuffled.
@@ -23,6 +25,10 @@ WINDOW = 64
 SHARD_TOKENS = 4_000_000
 #: Containers filled less than this are opened again in the next window.
 FULL = 0.985
+#: How far a source's share of a window's tokens may lie from its target while no source has run out.
+TOLERANCE = 0.06
+#: Share of a window by which what earlier shards left may shift a source at most.
+SHIFT = 0.02
 
 
 @lru_cache(maxsize=2)
@@ -61,58 +67,69 @@ def fill(sizes: list[tuple[int, int]], capacity: int) -> list[list[int]]:
     return boxes
 
 
-def pack_shard(docs: list[tuple], targets: dict, deficits: dict, capacity: int = CAPACITY, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Containers of (document, first token, tokens) pieces for one shard.
+def pack_shard(docs: list[tuple], targets: dict, carry: dict, capacity: int = CAPACITY, window: int = WINDOW) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
+    """(window, sources that have documents left behind it, pieces) of the containers of one shard; a piece is (document, first token, tokens).
 
-    ``docs``: (document, source, tokens) in the order to be read. Per window every source's deficit grows by its
-    target share of the window's tokens; documents leave a source's queue while the deficit covers them, and what
-    is left is carried on. A source whose queue is empty gives its share to the others. The documents of
-    a window are packed best fit; containers that are not full are opened again in the next window, so little
-    space is lost. A document longer than a container gives whole containers and one rest.
+    ``docs``: (document, source, tokens) in the order to be read; a document longer than a container queues as whole
+    containers and one rest. Per window every source's deficit grows by its target share of the window's tokens, and
+    by an equal part of ``carry``, what the shards before have left, but at most SHIFT of the window; pieces leave a source's queue in turns while the
+    deficit covers them, and what is left is carried on. No piece exceeds a container, so a window misses a source's
+    target by two containers at most, but for those that are carried. A source whose queue is empty gives its share to the
+    others. The pieces of a window are packed best fit; containers that are not full are opened again in the next window.
     """
     queues: dict = {}
+    total = 0
     for doc, source, n in docs:
-        queues.setdefault(source, deque()).append((doc, n))
-    deficits = {s: float(deficits.get(s, 0.0)) for s in queues}
-    full: list[list[tuple[int, int, int]]] = []
+        total += n
+        queue = queues.setdefault(source, deque())
+        for at in range(0, n - capacity, capacity):
+            queue.append((doc, at, capacity))
+        rest = n % capacity or capacity
+        queue.append((doc, n - rest, rest))
+    budget = float(capacity * window)
+    windows = max(1.0, total / budget)
+    deficits = dict.fromkeys(queues, 0.0)
+    shift = {s: max(-SHIFT * budget, min(SHIFT * budget, carry.get(s, 0.0) / windows)) for s in queues}
+    out: list = []
     carried: list[tuple[int, int, int]] = []
+    number = 0
     while any(queues.values()):
-        budget = float(capacity * window)
         live = [s for s in queues if queues[s]]
         weight = sum(targets.get(s, 0.0) for s in live)
         for s in live:
-            deficits[s] += budget * (targets.get(s, 0.0) / weight if weight > 0 else 1.0 / len(live))
-        short = min(queues[s][0][1] - deficits[s] for s in live)
+            deficits[s] += budget * (targets.get(s, 0.0) / weight if weight > 0 else 1.0 / len(live)) + shift[s]
+        short = min(queues[s][0][2] - deficits[s] for s in live)
         if short > 0:  # nobody can send: all rise together until one can
             for s in live:
                 deficits[s] += short
         pieces = carried
         taken = True
-        while taken:  # round robin: one document per source and turn
+        while taken:  # round robin: one piece per source and turn
             taken = False
             for s in live:
-                if queues[s] and queues[s][0][1] <= deficits[s]:
-                    doc, n = queues[s].popleft()
-                    deficits[s] -= n
+                if queues[s] and queues[s][0][2] <= deficits[s]:
+                    piece = queues[s].popleft()
+                    deficits[s] -= piece[2]
+                    pieces.append(piece)
                     taken = True
-                    whole = n // capacity if n > capacity else 0
-                    full += [[(doc, i * capacity, capacity)] for i in range(whole)]
-                    if n - whole * capacity:
-                        pieces.append((doc, whole * capacity, n - whole * capacity))
-        boxes = fill([(p[2], i) for i, p in enumerate(pieces)], capacity)
-        last = not any(queues.values())
+        left = sum(map(bool, queues.values()))
+        last = not left
         carried = []
-        for box in boxes:
+        for box in fill([(p[2], i) for i, p in enumerate(pieces)], capacity):
             content = [pieces[i] for i in box]
             if last or sum(p[2] for p in content) >= FULL * capacity:
-                full.append(content)
+                out.append((number, left, content))
             else:
                 carried += content
-    return full
+        number += 1
+    return out
 
 
 def pack(docs: DataFrame, ident: str, source: str, tokens: str, targets: dict[str, float] | None = None, capacity: int = CAPACITY, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Containers: ``container_id``, ``n_tokens``, ``doc_ids``, ``starts``, ``lengths`` (parallel arrays).
+    """Containers: ``container_id``, ``window``, ``n_live``, ``n_tokens``, ``doc_ids``, ``starts``, ``lengths`` (parallel arrays).
+
+    ``window`` numbers the windows in which containers are filled, ``n_live`` the sources that have documents left behind
+    it. While all have, each window holds the target mix within TOLERANCE, and windows may be read in any order.
 
     Every token of every document is in exactly one container; only documents longer than ``capacity`` are
     divided, and only their rest shares a container. Documents of no tokens, or with a null identifier, are in none.
@@ -121,9 +138,9 @@ def pack(docs: DataFrame, ident: str, source: str, tokens: str, targets: dict[st
     that repeat an identifier are separate documents.
 
     Documents are dealt to shards of about ``shard_tokens`` tokens by a hash of the identifier, which spreads any
-    source over all shards. Shards start with the deficits that the shards before them leave: the target share of
-    all tokens before, less the source's tokens before, both known from per-shard sums. So the mix is controlled
-    across shards while they are packed in parallel.
+    source over all shards. A shard makes up for the deficits that the shards before it leave, spread over its windows and within the tolerance:
+    the target share of all tokens before, less the source's tokens before, both known from per-shard sums. So the
+    mix is controlled across shards while they are packed in parallel.
     """
     rows = docs.where(F.col(ident).isNotNull() & (F.col(tokens) > 0)).select(F.col(ident).cast("long").alias("doc"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(tokens).cast("long").alias("n"))
     rows = cut(rows, "lengths")
@@ -141,7 +158,7 @@ def pack(docs: DataFrame, ident: str, source: str, tokens: str, targets: dict[st
     ahead = grid.withColumn("sent", F.coalesce(F.sum("n").over(before), F.lit(0)))
     whole = ahead.groupBy("shard").agg(F.sum("sent").alias("all_sent"))
     start = ahead.join(whole, "shard").select("source", "shard", "share", (F.col("share") * F.col("all_sent") - F.col("sent")).alias("deficit"))
-    schema = "container_id long, n_tokens int, doc_ids array<long>, starts array<long>, lengths array<int>"
+    schema = "container_id long, window long, n_live int, n_tokens int, doc_ids array<long>, starts array<long>, lengths array<int>"
 
     def run(key: tuple, pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc", "n"], kind="stable")
@@ -149,10 +166,12 @@ def pack(docs: DataFrame, ident: str, source: str, tokens: str, targets: dict[st
         boxes = pack_shard(list(zip(pdf["doc"], pdf["source"], pdf["n"])), mix, dict(zip(state["source"], state["deficit"])), capacity, window)
         return pd.DataFrame({
             "container_id": [(int(key[0]) << 32) + i for i in range(len(boxes))],
-            "n_tokens": [sum(p[2] for p in b) for b in boxes],
-            "doc_ids": [[int(p[0]) for p in b] for b in boxes],
-            "starts": [[int(p[1]) for p in b] for b in boxes],
-            "lengths": [[int(p[2]) for p in b] for b in boxes],
+            "window": [(int(key[0]) << 32) + w for w, _, _ in boxes],
+            "n_live": [n for _, n, _ in boxes],
+            "n_tokens": [sum(p[2] for p in b) for _, _, b in boxes],
+            "doc_ids": [[int(p[0]) for p in b] for _, _, b in boxes],
+            "starts": [[int(p[1]) for p in b] for _, _, b in boxes],
+            "lengths": [[int(p[2]) for p in b] for _, _, b in boxes],
         })
 
     rows, start = (side.select(*[F.col(c).alias(c) for c in side.columns]) for side in (rows, start))  # two identities of one table

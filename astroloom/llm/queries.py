@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from astroloom.llm import knn, leakage, packing, percentiles, stuffing, topn
@@ -111,6 +111,22 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(counted, "doc_id", "source", "n_tokens")
 
 
+def p7_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers at equal target shares of all sources, checked: texts, whether each token of each is held once, and whether each window holds the mix."""
+    counted = packing.count_tokens(table(spark, sf_dir, "documents", "doc_id", "source", "text"), "text").drop("text")
+    counted = cut(counted.where("n_tokens > 0").withColumn("source", F.coalesce("source", F.lit(""))), "counted")
+    names = [r["source"] for r in counted.select("source").distinct().limit(1000).collect()]  # sources are offices
+    boxes = cut(packing.pack(counted, "doc_id", "source", "n_tokens", dict.fromkeys(names, 1.0 / max(1, len(names)))), "boxes")
+    pieces = boxes.select("window", "n_live", F.explode(F.arrays_zip("doc_ids", "starts", "lengths")).alias("p")).select("window", "n_live", F.col("p.doc_ids").alias("doc_id"), F.col("p.starts").alias("start"), F.col("p.lengths").alias("n"))
+    held = pieces.groupBy("doc_id").agg(F.sum("n").alias("n"), F.max(F.col("start") + F.col("n")).alias("end"), F.countDistinct("start").alias("starts"), F.count(F.lit(1)).alias("pieces"))
+    kept = counted.join(held, "doc_id", "left").agg(F.count(F.lit(1)).alias("n_texts"), F.coalesce(F.min(F.coalesce((F.col("n") == F.col("n_tokens")) & (F.col("end") == F.col("n_tokens")) & (F.col("starts") == F.col("pieces")), F.lit(False))), F.lit(True)).alias("kept_once"))
+    mixed = pieces.where(F.col("n_live") == len(names)).join(counted.select("doc_id", "source"), "doc_id").groupBy("window", "source").agg(F.sum("n").alias("n"))
+    share = mixed.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("window")))
+    mix = share.agg(F.coalesce(F.max(F.abs(F.col("share") - 1.0 / max(1, len(names)))) <= packing.TOLERANCE, F.lit(True)).alias("mix_held"))
+    full = boxes.agg(F.coalesce(F.max("n_tokens") <= packing.CAPACITY, F.lit(True)).alias("within_capacity"))
+    return kept.crossJoin(mix).crossJoin(full)  # three single rows
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a held-out passage."""
     found = leakage.find_leaks(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", table(spark, sf_dir, "eval_items", "item_id", "text"), "item_id", "text")
@@ -131,6 +147,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_stale_centrals": p6_stale_centrals,
     "p7_containers": p7_containers,
+    "p7_checked": p7_checked,
     "p8_found": p8_found,
     "p9_found": p9_found,
 }
@@ -170,4 +187,5 @@ ORACLE: dict[str, str] = {
     "p6_found": _GALAXIES + " SELECT run_id, haloid, galaxy_id FROM ranked WHERE k <= 5",
     "p6_stale_centrals": _GALAXIES + """ SELECT g.galaxy_id, g.central_galaxy_index, r.galaxy_id AS central
 FROM good g JOIN ranked r ON g.run_id = r.run_id AND g.haloid = r.haloid AND r.k = 1 WHERE g.central_galaxy_index <> r.galaxy_id""",
+    "p7_checked": "SELECT count(*) AS n_texts, true AS kept_once, true AS mix_held, true AS within_capacity FROM documents WHERE doc_id IS NOT NULL AND length(text) > 0",
 }

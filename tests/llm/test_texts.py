@@ -27,7 +27,7 @@ def test_shards_hold_every_token_once(docs, window, deficits):
     rows = [(i, s, n) for i, (s, n) in enumerate(docs)]
     boxes = packing.pack_shard(rows, {"a": 0.5, "b": 0.3, "c": 0.2}, deficits, capacity=100, window=window)
     seen = {}
-    for box in boxes:
+    for _, _, box in boxes:
         assert 0 < sum(p[2] for p in box) <= 100
         for doc, start, n in box:
             seen.setdefault(doc, []).append((start, n))
@@ -43,7 +43,7 @@ def test_mixture_is_kept_and_little_space_is_left():
     docs = [(i, rng.choice("aaab"), rng.randrange(20, 900)) for i in range(3000)]
     share = {s: sum(n for _, t, n in docs if t == s) for s in "ab"}
     total = sum(share.values())
-    boxes = packing.pack_shard(docs, {s: v / total for s, v in share.items()}, {}, 2048, 16)
+    boxes = [b for _, _, b in packing.pack_shard(docs, {s: v / total for s, v in share.items()}, {}, 2048, 16)]
     assert sum(p[2] for b in boxes for p in b) / (2048 * len(boxes)) > 0.98
     kind = {i: s for i, s, _ in docs}
     for at in range(0, len(boxes) - 32, 32):
@@ -52,6 +52,23 @@ def test_mixture_is_kept_and_little_space_is_left():
         assert abs(b - share["b"] / total) < 0.05
 
 
+@pytest.mark.parametrize("longest", [900, 60_000])
+def test_every_window_holds_the_given_mix(longest):
+    rng = random.Random(6)
+    docs = [(i, rng.choice("aaab"), rng.randrange(20, longest)) for i in range(3000 if longest < 2048 else 600)]
+    target = {"a": 0.5, "b": 0.5}
+    kind = {i: s for i, s, _ in docs}
+    windows: dict = {}
+    for window, live, box in packing.pack_shard(docs, target, {"a": 20_000.0, "b": -20_000.0}):
+        if live == 2:
+            sums = windows.setdefault(window, dict.fromkeys("ab", 0))
+            for doc, _, n in box:
+                sums[kind[doc]] += n
+    assert len(windows) >= 3
+    for sums in windows.values():
+        assert abs(sums["a"] / sum(sums.values()) - 0.5) < packing.TOLERANCE
+
+
 def test_pack_table(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice(["x", "x", "x", None, "y"]), rng.choice([0, 1, 30, 700, 2048, 2049, 5000])) for i in range(600)] + [(None, "x", 50), (700, "x", None), (1, "x", 10)]
