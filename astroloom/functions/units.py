@@ -51,19 +51,25 @@ _L, _M, _T, _K, _E = (1, 0, 0, 0), (0, 1, 0, 0), (0, 0, 1, 0), (0, 0, 0, 1), (2,
 ROOTS = {
     "m": (1e2, _L, True, 1.0), "meter": (1e2, _L, True, 0.5), "meters": (1e2, _L, True, 0.5), "metre": (1e2, _L, True, 0.5), "metres": (1e2, _L, True, 0.5),
     "pc": (KPC / 1e3, _L, True, 0.6), "parsec": (KPC / 1e3, _L, True, 0.3), "parsecs": (KPC / 1e3, _L, True, 0.3),
-    "AU": (1.495978707e13, _L, False, 0.5),
+    "AU": (1.495978707e13, _L, False, 0.5), "ly": (2.99792458e10 * YEAR, _L, True, 0.6), "lightyear": (2.99792458e10 * YEAR, _L, True, 0.4), "lightyears": (2.99792458e10 * YEAR, _L, True, 0.4),
+    "Å": (1e-8, _L, False, 0.5), "angstrom": (1e-8, _L, False, 0.4), "Angstrom": (1e-8, _L, False, 0.4),
     "g": (1.0, _M, True, 1.0), "gram": (1.0, _M, True, 0.5), "grams": (1.0, _M, True, 0.5),
     "Msun": (MSUN, _M, False, 0.1), "M_sun": (MSUN, _M, False, 0.1), "Msol": (MSUN, _M, False, 0.1), "M_solar": (MSUN, _M, False, 0.1), "Msolar": (MSUN, _M, False, 0.1),
     "M⊙": (MSUN, _M, False, 0.1), "M_⊙": (MSUN, _M, False, 0.1), "M☉": (MSUN, _M, False, 0.1), "solar_mass": (MSUN, _M, False, 0.1), "solar_masses": (MSUN, _M, False, 0.1),
     "s": (1.0, _T, True, 1.0), "sec": (1.0, _T, True, 0.5), "second": (1.0, _T, True, 0.4), "seconds": (1.0, _T, True, 0.4),
+    "lb": (453.59237, _M, False, 1.0), "lbs": (453.59237, _M, False, 1.0), "tonne": (1e6, _M, True, 0.5), "tonnes": (1e6, _M, True, 0.5), "t": (1e6, _M, True, 1.5),
+    "hr": (3600.0, _T, False, 0.8), "hour": (3600.0, _T, False, 0.5), "hours": (3600.0, _T, False, 0.5), "day": (86400.0, _T, False, 0.5), "days": (86400.0, _T, False, 0.5),
     "yr": (YEAR, _T, True, 0.4), "year": (YEAR, _T, True, 0.3), "years": (YEAR, _T, True, 0.3),
     "K": (1.0, _K, True, 0.5), "kelvin": (1.0, _K, True, 0.3), "Kelvin": (1.0, _K, True, 0.3), "degK": (1.0, _K, False, 0.3),
     "erg": (1.0, _E, True, 0.5), "ergs": (1.0, _E, True, 0.5), "J": (1e7, _E, True, 0.5), "joule": (1e7, _E, True, 0.4), "joules": (1e7, _E, True, 0.4),
     "eV": (EV_ERG, _E, True, 0.4), "N": (1e5, (1, 1, -2, 0), True, 1.0),
+    "k_B_T": (1.0, (0, 0, 0, 0), False, 0.2), "kB_T": (1.0, (0, 0, 0, 0), False, 0.2), "k_BT": (1.0, (0, 0, 0, 0), False, 0.2), "kBT": (1.0, (0, 0, 0, 0), False, 0.2),
 }
 #: Powers of the scale factor and of the Hubble parameter stand as roots of no dimension.
 SCALES = {"a": (1, 0), "h": (0, 1)}
 EXPONENTS = [*(str(n) for n in range(1, 7)), *(f"-{n}" for n in range(1, 7)), "²", "³", "⁻¹", "⁻²", "⁻³"]
+#: Cheapest readings of a word or product that are kept for each dimension; the prior depends on the dimension only.
+READINGS = 16
 _RAISED = {"²": "2", "³": "3", "⁻¹": "-1", "⁻²": "-2", "⁻³": "-3"}
 MISMATCH = 50.0
 
@@ -117,7 +123,12 @@ def _least(readings) -> list[Reading]:
         key = (r.dim, r.a, r.h, r.frame, round(r.log, 6))
         if key not in best or r.cost < best[key].cost:
             best[key] = r
-    return sorted(best.values(), key=lambda r: r.cost)[:64]
+    kept: dict = {}
+    for r in sorted(best.values(), key=lambda r: r.cost):
+        own = kept.setdefault(r.dim, [])
+        if len(own) < READINGS:
+            own.append(r)
+    return [r for own in kept.values() for r in own]
 
 
 def _pieces(word: str, start: int):
@@ -237,6 +248,12 @@ class _Parser:
                 return [r.power(0.5) for r in self.atom()]
             if token.lower() in _WORDS:
                 return [Reading(frame=_WORDS[token.lower()])]
+            following = self.peek()
+            if following and following.lastgroup == "word":  # roots of two words
+                both = segment(f"{token}_{following['word']}") or segment(f"{token}_{following['word']}".lower())
+                if both:
+                    self.at = following.end()
+                    return list(both)
             readings = segment(token)
             if readings:
                 return list(readings)
@@ -252,9 +269,7 @@ def parse_unit(text: str | None, quantity: str | None) -> tuple[float, float, fl
     want = DIMENSIONS.get(quantity or "")
     if text is None or want is None:
         return None
-    text = text.replace("−", "-").strip()
-    text = re.sub(r"\(?\s*k_?B\s*\*?\s*T\s*\)?", " ", text)
-    text = re.sub(r"(?i)\bsolar\s+mass(es)?\b", "solar_mass", text).strip()
+    text = re.sub(r"(?<=k_B)\s*\*\s*(?=T\b)|(?<=kB)\s*\*\s*(?=T\b)", " ", text.replace("−", "-")).strip()
     while len(text) > 1 and (text[0], text[-1]) in (("[", "]"), ("(", ")")) and _closes_last(text):
         text = text[1:-1].strip()
     if not text:
@@ -314,12 +329,21 @@ def parse_number(text: str) -> float | None:
     return value if math.isfinite(value) else None
 
 
+def _without_remarks(text: str) -> str:
+    """A text without the clauses at its end that consist of words of which none can belong to a unit."""
+    while m := re.search(r"[,;]\s+([^\W\d_]+(?:\s+[^\W\d_]+)*)\s*$", text):
+        if any(w.lower() in _WORDS or segment(w) for w in m[1].split()):
+            break
+        text = text[: m.start()]
+    return text.strip()
+
+
 def split_raw(text: str | None) -> tuple[float | None, str | None]:
     """(number, unit text) of a free text that holds both."""
     if text is None:
         return None, None
     text = re.sub(r"(?i)^\s*(?:approx\.?|about|ca\.?|~)\s*", "", text.replace("−", "-")).strip()
-    text = re.sub(r"(?i),?\s*taken from the log\s*$", "", text).strip()
+    text = _without_remarks(text)
     for shape in _SHAPES:
         if m := shape.match(text):
             if (n := parse_number(m["n"])) is not None:

@@ -1,9 +1,11 @@
 import itertools
+import math
 
 import pandas as pd
 import pytest
 
 from astroloom.functions import units as U
+from astroloom.functions.units import parse_unit, split_raw
 from astroloom.operators.units import conflicting_pairs, to_code_units
 
 
@@ -95,3 +97,13 @@ def test_conflicts_match_brute_force(spark):
     assert len(got) == len(want) and set(map(tuple, got.to_numpy())) == want
     assert conflicting_pairs(spark.createDataFrame([], "id long, k long, x double"), ["k"], "id", "x").count() == 0
     assert isinstance(got, pd.DataFrame)
+
+
+def test_remarks_roots_of_two_words_and_further_units():
+    assert split_raw("12.5 kpc, read off the plot") == (12.5, "kpc")
+    assert split_raw("12.5 kpc, comoving") == (12.5, "kpc, comoving") and split_raw("3 km, s") == (3.0, "km, s")
+    assert parse_unit("1e10 solar masses", "mass")[0] == pytest.approx(math.log10(1.98841e43))
+    assert parse_unit("keV k_B T", "temperature") == parse_unit("keV (k_B*T)", "temperature") == parse_unit("keV", "temperature")
+    assert parse_unit("kly", "pos")[0] == pytest.approx(math.log10(9.4607e20), abs=1e-4) and parse_unit("Å", "pos")[0] == -8
+    assert parse_unit("Msun/day", "sfr")[0] == pytest.approx(math.log10(1.98841e33 / 86400)) and parse_unit("lb", "mass")[0] == pytest.approx(math.log10(453.59237))
+    assert parse_unit("km per hour", "vel")[0] == pytest.approx(math.log10(1e5 / 3600)) and parse_unit("furlong", "pos") is None
