@@ -144,8 +144,10 @@ def _clamp(x):
     return np.clip(x, 0.0, 1.0)
 
 
-def mixed_law(name: str, wavelength, log_ssfr=None, log_z=None):
-    """A single law, or a mix by the galaxy: active galaxies towards Calzetti, metal-poor ones towards SMC."""
+def mixed_law(name: str, wavelength, log_ssfr=None, log_z=None, alpha: float = 1.0):
+    """A single law (the power law with slope ``alpha``), or a mix by the galaxy: active galaxies towards Calzetti, metal-poor ones towards SMC."""
+    if name == "POWER_LAW":
+        return power_law(wavelength, alpha)
     if name in LAWS:
         return LAWS[name](wavelength)
     if name not in MIXES:

@@ -97,7 +97,10 @@ class BoxTransform:
         if viewing_axis is not None:
             order.remove(viewing_axis)
             order.append(viewing_axis)
-        return cls(tuple(int(o) for o in order), tuple(int(f) for f in rng.choice((-1, 1), 3)), tuple(float(s) for s in rng.uniform(0, box, 3)))
+        flips = [int(f) for f in rng.choice((-1, 1), 3)]
+        if viewing_axis is not None:
+            flips[2] = 1  # the axis looked along keeps its direction
+        return cls(tuple(int(o) for o in order), tuple(flips), tuple(float(s) for s in rng.uniform(0, box, 3)))
 
     def positions(self, columns: list[Column], box: float) -> list[Column]:
         return [F.pmod(columns[o] * float(f) + s, F.lit(float(box))) for o, f, s in zip(self.order, self.flips, self.shift)]

@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from astroloom.functions.dust import kernel_table, madau, mixed_law
-from astroloom.functions.physics import AV_TO_NH, C_KMS, M_SUN_G, KPC_CM, PROTON_MASS_G, X_H, Z_SUN_ASPLUND, guarded_divide
+from astroloom.functions.physics import AV_TO_NH, C_KMS, KPC_CM, L_SUN_CGS, M_SUN_G, PROTON_MASS_G, X_H, Z_SUN_ASPLUND, Z_SUN_WATSON, guarded_divide, unwrap
 from astroloom.operators.spatial import metal_columns
 from astroloom.tables import cut
 
 #: Stars per task in the spectrum synthesis; a galaxy of any size is cut into so many and its partial spectra are added.
 STARS = 20_000
 ANGSTROM_PER_S = C_KMS * 1e13
+# Fixed value: the dust-to-metal ratio of the Milky Way.
+MW_DUST_TO_METAL = 0.4 / 0.6
 
 
 @dataclass(frozen=True)
@@ -74,12 +76,14 @@ class PhotometryConfig:
     luminosity_distance_mpc: float = 0.0
     use_dust: bool = True
     use_igm: bool = True
+    alpha: float = 1.0
+    orientation: str | None = None
     bands: tuple[Band, ...] = field(default_factory=tuple)
 
     @property
     def av_per_column(self) -> float:
-        """V-band extinction per metal column in Msun / kpc^2."""
-        return X_H * M_SUN_G / PROTON_MASS_G / KPC_CM**2 / AV_TO_NH / Z_SUN_ASPLUND
+        """V-band extinction per metal column in Msun per comoving kpc^2."""
+        return X_H * M_SUN_G * (1 + self.redshift) ** 2 / PROTON_MASS_G / KPC_CM**2 / AV_TO_NH / Z_SUN_WATSON
 
 
 def resolve_bands(names: list[str], known: dict[str, float]) -> list[str]:
@@ -139,7 +143,7 @@ def uv_slope(log_wavelength: str, log_luminosity: str) -> Column:
     return F.regr_slope(log_luminosity, log_wavelength) - 2
 
 
-def spectra(stars: DataFrame, galaxy: str, models: StellarModels, columns: str | None = "a_v", law: str = "CALZETTI", los_velocity: str | None = None) -> DataFrame:
+def spectra(stars: DataFrame, galaxy: str, models: StellarModels, law: str = "CALZETTI", alpha: float = 1.0) -> DataFrame:
     """(galaxy, spectrum, spectrum_nodust): summed spectra of the stars of every galaxy at the model wavelengths.
 
     ``stars``: galaxy, log_age, log_z, mass, and optionally a_v, v_los, log_ssfr, galaxy_log_z. Stars are dealt
@@ -167,7 +171,7 @@ def spectra(stars: DataFrame, galaxy: str, models: StellarModels, columns: str |
                     light = np.take_along_axis(light, source, 1)
                 bare += light.sum(0)
                 if "a_v" in part:
-                    curve = mixed_law(law, wave, float(part["log_ssfr"].iloc[0]) if "log_ssfr" in part else 0.0, float(part["galaxy_log_z"].iloc[0]) if "galaxy_log_z" in part else 0.0)
+                    curve = mixed_law(law, wave, float(part["log_ssfr"].iloc[0]) if "log_ssfr" in part else 0.0, float(part["galaxy_log_z"].iloc[0]) if "galaxy_log_z" in part else 0.0, alpha)
                     light = light * np.exp(-part["a_v"].fillna(0.0).to_numpy()[:, None] * curve[None, :])
                 total += light.sum(0)
             else:
@@ -190,20 +194,20 @@ def _weighted_sum(spectrum: str, weights: np.ndarray) -> Column:
 def magnitudes(light: DataFrame, models: StellarModels, config: PhotometryConfig) -> DataFrame:
     """Absolute and apparent magnitudes with and without dust, infrared luminosity and UV slopes from spectra per galaxy."""
     wave = models.wavelengths
-    nu = ANGSTROM_PER_S / wave
-    dnu = np.abs(np.gradient(nu))
-    ten_pc = 4 * math.pi * (10 * KPC_CM / 1e3) ** 2
+    dnu = ANGSTROM_PER_S / wave**2 * np.gradient(wave)
+    ten_pc = 4 * math.pi * (10 * KPC_CM / 1e3) ** 2 / L_SUN_CGS
     out = light
     for band in config.bands:
         weight = band.transmission * dnu
         scale = weight.sum() or 1.0
         for suffix, source in (("", "spectrum"), ("_nodust", "spectrum_nodust")):
             out = out.withColumn(f"mag_abs{suffix}_{band.name}", ab_magnitude(_weighted_sum(source, weight / scale), 1 / ten_pc))
-            if config.luminosity_distance_mpc > 0:
-                shifted = np.interp(wave * (1 + config.redshift), wave, band.transmission, left=0.0, right=0.0) * dnu
-                through = shifted * (madau(wave * (1 + config.redshift), config.redshift) if config.use_igm else 1.0)
-                area = 4 * math.pi * (config.luminosity_distance_mpc * 1e3 * KPC_CM) ** 2 / (1 + config.redshift)
-                out = out.withColumn(f"mag_app{suffix}_{band.name}", ab_magnitude(_weighted_sum(source, through / (shifted.sum() or 1.0)), 1 / area))
+            # at redshift 0 there is no luminosity distance, and apparent magnitudes are the absolute ones
+            far = config.redshift >= 1e-10
+            shifted = np.interp(wave * (1 + config.redshift), wave, band.transmission, left=0.0, right=0.0) * dnu
+            through = shifted * (madau(wave * (1 + config.redshift), config.redshift) if config.use_igm else 1.0)
+            area = 4 * math.pi * (config.luminosity_distance_mpc * 1e3 * KPC_CM) ** 2 / (1 + config.redshift) / L_SUN_CGS if far else ten_pc
+            out = out.withColumn(f"mag_app{suffix}_{band.name}", ab_magnitude(_weighted_sum(source, through / (shifted.sum() or 1.0)), 1 / area))
     out = out.withColumn("luminosity_fir", _weighted_sum("spectrum_nodust", dnu) - _weighted_sum("spectrum", dnu))
     inside = (wave >= 1500) & (wave < 3000)
     x = np.log10(wave[inside])
@@ -221,18 +225,62 @@ def magnitudes(light: DataFrame, models: StellarModels, config: PhotometryConfig
     return out
 
 
+def dust_extinction(column: Column, config: PhotometryConfig, from_metals: bool) -> Column:
+    """V-band extinction of a column. A column of metals instead of dust is lowered by the dust-to-metal ratio of Li et al.
+    (2019) at its metallicity and redshift, where that lies below the Milky Way's."""
+    a_v = column * config.av_per_column
+    if not from_metals:
+        return a_v
+    slope, start = -0.104 * config.redshift + 0.97, -0.059 * config.redshift + 0.005
+    ratio = F.pow(F.lit(10.0), slope * F.log10(column / Z_SUN_ASPLUND) + start)
+    return F.when((column > 0) & (ratio < MW_DUST_TO_METAL), a_v * ratio / MW_DUST_TO_METAL).otherwise(a_v)
+
+
+def _turned(points: DataFrame, frame: DataFrame, galaxy: str, box: float, view: str, velocities: bool) -> DataFrame:
+    """``points`` with places about their galaxy's centre (cx, cy, cz), turned by its angular momentum (lx, ly, lz)."""
+    matrix = rotation_to((F.col("lx"), F.col("ly"), F.col("lz")), view)
+    near = points.join(frame, galaxy)
+    places = rotate(matrix, *[unwrap(F.col(c), F.col(f"c{c}"), box) - F.col(f"c{c}") for c in "xyz"])
+    moved = dict(zip("xyz", places))
+    if velocities:
+        moved |= dict(zip(("vx", "vy", "vz"), rotate(matrix, *[F.col(f"v{c}") for c in "xyz"])))
+    return near.withColumns(moved).drop("cx", "cy", "cz", "lx", "ly", "lz")
+
+
 def run_photometry(stars: DataFrame, gas: DataFrame, galaxies: DataFrame, galaxy: str, models: StellarModels, config: PhotometryConfig, box: float) -> DataFrame:
-    """Dust columns, spectra and magnitudes of every galaxy that has stars."""
-    if config.use_dust:
-        table = kernel_table(config.kernel_bins, config.kernel)
-        seen = metal_columns(stars, gas, (galaxy,), list(table), box, config.axis)
-        stars = stars.join(seen.withColumn("a_v", F.col("column") * config.av_per_column).select(galaxy, "pidx", "a_v"), [galaxy, "pidx"])
-        stars = stars.join(galaxies.select(galaxy, "log_ssfr", F.col("log_z").alias("galaxy_log_z")), galaxy)
-    light = cut(spectra(stars, galaxy, models, law=config.dust_law), "spectra")
+    """Dust columns, spectra and magnitudes of every galaxy that has stars.
+
+    ``stars`` (galaxy, pidx, places, log_age, log_z, mass, and v_los or velocities), ``gas`` (galaxy, places, h, mass, metallicity and,
+    where the snapshot has it, dust_mass), ``galaxies`` (galaxy, log_ssfr, log_z and, for an orientation, the centre
+    cx, cy, cz and angular momentum lx, ly, lz). With ``use_dust`` the snapshot's dust masses make the columns; without
+    them, or with ``use_dust`` off, metals do, at a dust-to-metal ratio. Stars without gas in front have no extinction.
+    """
+    from_metals = not (config.use_dust and "dust_mass" in gas.columns)
+    if not from_metals:
+        gas = gas.drop("mass", "metallicity").withColumns({"mass": F.col("dust_mass"), "metallicity": F.lit(1.0)})
+    axis, edge = config.axis.lower(), box
+    if config.orientation is not None:
+        frame = galaxies.select(galaxy, "cx", "cy", "cz", "lx", "ly", "lz")
+        stars = _turned(stars, frame, galaxy, box, config.orientation, "vz" in stars.columns)
+        gas = _turned(gas, frame, galaxy, box, config.orientation, False)
+        axis, edge = "z", None
+    if "v_los" not in stars.columns and f"v{axis}" in stars.columns:
+        stars = stars.withColumn("v_los", F.col(f"v{axis}"))
+    table = kernel_table(config.kernel_bins, config.kernel)
+    seen = metal_columns(stars, gas, (galaxy,), list(table), edge, axis)
+    stars = stars.join(seen.withColumn("a_v", dust_extinction(F.col("column"), config, from_metals)).select(galaxy, "pidx", "a_v"), [galaxy, "pidx"])
+    stars = stars.join(galaxies.select(galaxy, "log_ssfr", F.col("log_z").alias("galaxy_log_z")), galaxy)
+    light = cut(spectra(stars, galaxy, models, law=config.dust_law, alpha=config.alpha), "spectra")
     return magnitudes(light, models, config)
 
 
 def galaxy_quantities(galaxies: DataFrame, floor: float = 1e-30) -> DataFrame:
-    """log10 of specific star formation rate per Gyr and of metallicity, floored."""
+    """log10 of the specific star formation rate per Gyr and of the metallicity, weighted by star formation, in solar units; floored."""
     ssfr = F.coalesce(guarded_divide(F.col("sfr"), F.col("mass_star")), F.lit(0.0)) * 1e9
-    return galaxies.withColumns({"log_ssfr": F.log10(F.greatest(ssfr, F.lit(floor))), "log_z": F.log10(F.greatest(F.coalesce("metallicity", F.lit(0.0)), F.lit(floor)))})
+    metals = F.coalesce("metallicity_gas_sfr_weighted", F.lit(0.0)) / Z_SUN_ASPLUND
+    return galaxies.withColumns({"log_ssfr": F.log10(F.when(ssfr > 0, ssfr).otherwise(floor)), "log_z": F.log10(F.when(metals > 0, metals).otherwise(floor))})
+
+
+def star_quantities(stars: DataFrame) -> DataFrame:
+    """``stars`` with log_age (years, at least one) and log_z from age (Gyr) and metallicity; both null where not positive metals."""
+    return stars.withColumns({"log_age": F.log10(F.greatest(F.col("age"), F.lit(1e-9))) + 9, "log_z": F.when(F.col("metallicity") > 0, F.log10("metallicity"))})

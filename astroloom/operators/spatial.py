@@ -302,13 +302,14 @@ def local_densities(groups: DataFrame, radii: dict[str, float], box: float, by:
     return near.groupBy(*by, F.col("apidx").alias("pidx")).agg(*columns)
 
 
-def metal_columns(stars: DataFrame, gas: DataFrame, by: tuple[str, ...], kernel: list[float], box: float, axis: str = "z") -> DataFrame:
+def metal_columns(stars: DataFrame, gas: DataFrame, by: tuple[str, ...], kernel: list[float], box: float | None, axis: str = "z") -> DataFrame:
     """(by, pidx, column): metal column in front of every star along ``axis``, from gas of the same group.
 
     Gas counts if it lies on the observer's side (smaller or equal coordinate) and its smoothing length exceeds
-    the projected distance b; it adds mass · metallicity · K[int(n b / h)] / h^2 with the tabulated kernel. Cells on the sky are
-    as wide as the power of two above each gas particle's own smoothing length, so few large particles do not
-    widen the cells of all others.
+    the projected distance b; it adds mass · metallicity · K[int(n b / h)] / h^2 with the tabulated kernel. With a ``box``
+    all differences are those of the nearest images, so a group may lie across the box edge as long as it is
+    smaller than half the box; without one, places are taken as they are. Cells on the sky are as wide as the power of two
+    above each gas particle's own smoothing length, so few large particles do not widen the cells of all others.
     """
     u, v = [c for c in AXES if c != axis]
     n = len(kernel) - 1
@@ -316,14 +317,25 @@ def metal_columns(stars: DataFrame, gas: DataFrame, by: tuple[str, ...], kernel:
     level = F.ceil(F.log2("h"))
     g = gas.select(*by, *[F.col(c).alias(f"g{c}") for c in AXES], "h", (F.col("mass") * F.col("metallicity")).alias("zm"), level.cast("int").alias("level"))
     width = F.pow(F.lit(2.0), F.col("level"))
-    g = g.withColumns({"cu": F.floor(F.col(f"g{u}") / width), "cv": F.floor(F.col(f"g{v}") / width)})
+    if box is not None:  # whole cells around the box, each at least as wide
+        around = F.greatest(F.lit(1.0), F.floor(F.lit(float(box)) / width))
+        cell = lambda c: F.pmod(F.floor(F.col(c) / (F.lit(float(box)) / around)), around).cast("long")
+        near_cells = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.pmod(cell(c) + d, around).cast("long")))
+    else:
+        cell = lambda c: F.floor(F.col(c) / width)
+        near_cells = lambda c: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: cell(c) + d)
+    g = g.withColumns({"cu": cell(f"g{u}"), "cv": cell(f"g{v}")})
     levels = g.select(*by, "level").distinct()
     s = stars.select(*by, F.col("pidx"), *[F.col(c).alias(f"s{c}") for c in AXES]).join(levels, list(by))
-    s = s.withColumn("cu", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.floor(F.col(f"s{u}") / width) + d)))
-    s = s.withColumn("cv", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.floor(F.col(f"s{v}") / width) + d)))
+    s = s.withColumn("cu", F.explode(near_cells(f"s{u}"))).withColumn("cv", F.explode(near_cells(f"s{v}")))
     near = s.join(g, [*by, "level", "cu", "cv"])
-    b2 = (F.col(f"s{u}") - F.col(f"g{u}")) * (F.col(f"s{u}") - F.col(f"g{u}")) + (F.col(f"s{v}") - F.col(f"g{v}")) * (F.col(f"s{v}") - F.col(f"g{v}"))
-    near = near.where((F.col(f"g{axis}") <= F.col(f"s{axis}")) & (b2 < F.col("h") * F.col("h")))
+
+    def apart(c: str) -> Column:
+        d = F.col(f"g{c}") - F.col(f"s{c}")
+        return d if box is None else d - F.lit(float(box)) * F.rint(d / float(box))
+
+    b2 = apart(u) * apart(u) + apart(v) * apart(v)
+    near = near.where((apart(axis) <= 0) & (b2 < F.col("h") * F.col("h")))
     table = F.array(*[F.lit(float(k)) for k in kernel])
     weight = F.element_at(table, F.floor(F.sqrt(b2) / F.col("h") * n).cast("int") + 1)
     sums = near.groupBy(*by, "pidx").agg(F.sum(F.col("zm") / (F.col("h") * F.col("h")) * weight).alias("column"))

@@ -32,7 +32,7 @@ def with_units(df: DataFrame, lists: dict | None = None) -> DataFrame:
     return df
 
 
-def write(path: str, haloes: DataFrame, galaxies: DataFrame, members: DataFrame, header: dict, config: str = "{}", overwrite: bool = False, lists: dict | None = None) -> None:
+def write(path: str, haloes: DataFrame, galaxies: DataFrame, members: DataFrame, header: dict, config: str = "{}", overwrite: bool = False, lists: dict | None = None, codec: str = "zstd") -> None:
     """Writes haloes, galaxies, membership (kind, row, ptype, pidx), header, metadata of columns and the configuration.
 
     Groups are range-partitioned by row and members by (kind, row, ptype, pidx), so files are contiguous blocks.
@@ -40,9 +40,9 @@ def write(path: str, haloes: DataFrame, galaxies: DataFrame, members: DataFrame,
     mode = "overwrite" if overwrite else "errorifexists"
     spark = haloes.sparkSession
     for name, df in (("haloes", haloes), ("galaxies", galaxies)):
-        with_units(df, lists).repartitionByRange("row").sortWithinPartitions("row").write.mode(mode).option("compression", "zstd").parquet(f"{path}/{name}.parquet")
+        with_units(df, lists).repartitionByRange("row").sortWithinPartitions("row").write.mode(mode).option("compression", codec).parquet(f"{path}/{name}.parquet")
     order = ["kind", "row", "ptype", "pidx"]
-    members.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).option("compression", "zstd").parquet(f"{path}/membership.parquet")
+    members.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).option("compression", codec).parquet(f"{path}/membership.parquet")
     rows = [(k, float(v)) for k, v in header.items()]
     spark.createDataFrame(rows, "name string, value double").coalesce(1).write.mode(mode).parquet(f"{path}/header.parquet")
     spark.createDataFrame([(FORMAT_VERSION, config)], "version int, config string").coalesce(1).write.mode(mode).parquet(f"{path}/metadata.parquet")

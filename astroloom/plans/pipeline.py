@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,13 +12,17 @@ from pyspark.sql import functions as F
 from astroloom.functions.physics import Header, eddington_factor, gas_criterion, hydrogen_number_density, unwrap
 from astroloom.operators import groups as G
 from astroloom.operators import membership as M
+from astroloom.operators import photometry as PH
 from astroloom.operators import spatial as S
 from astroloom.operators.hierarchy import resolve_forest
 from astroloom.plans import catalogue
 from astroloom.plans.config import RunConfig
-from astroloom.plans.stages import fill_lists
+from astroloom.plans.stages import STAGES, fill_lists, resolve, runnable
+from astroloom.sources.photometry_tables import read_table
 from astroloom.tables import cut
 
+logger = logging.getLogger("astroloom")
+
 
 @dataclass
 class Run:
@@ -130,11 +135,51 @@ def galaxies_in(particles: DataFrame, header: Header, config: RunConfig) -> Data
     return found.select("pidx", "galaxy")
 
 
+def photometry(inside: DataFrame, galaxies: DataFrame, header: Header, config: RunConfig, key: str = "galaxy", orientation: str | None = None, keep_spectra: bool = False) -> DataFrame:
+    """Magnitudes, infrared luminosity and UV slopes of galaxies from their members and properties, keyed by ``key``.
+
+    ``galaxies`` has the declared columns sfr, mass_star, metallicity_gas_sfr_weighted, com_pos_baryon and, for an
+    ``orientation`` ('face-on' or 'side-on'), L_baryon. Galaxies without stars have no row.
+    """
+    models, bands = read_table(inside.sparkSession, config.photometry_table_path, config.bands)
+    place = {f"c{c}": F.get("com_pos_baryon", F.lit(i)) for i, c in enumerate(G.AXES)}
+    turn = {f"l{c}": F.get("L_baryon", F.lit(i)) for i, c in enumerate(G.AXES)}
+    known = PH.galaxy_quantities(galaxies).select(key, "log_ssfr", "log_z", *[v.alias(k) for k, v in {**place, **turn}.items()])
+    stars = PH.star_quantities(inside.where("ptype = 'star'")).select(key, "pidx", *G.AXES, *[f"v{c}" for c in G.AXES], "log_age", "log_z", "mass")
+    gas = inside.where("ptype = 'gas'")
+    own = ["dust_mass"] if "dust_mass" in gas.columns else []
+    gas = gas.select(key, *G.AXES, F.col("smoothing_length").alias("h"), "mass", "metallicity", *own)
+    distance = float(header.cosmology.luminosity_distance(header.redshift)[0]) if header.redshift >= 1e-10 else 0.0
+    setup = PH.PhotometryConfig(
+        config.extinction_law, config.kernel_type, config.interpolation_bins, config.viewing_axis.lower(), header.redshift, distance,
+        config.use_dust, config.use_cosmic_extinction, config.power_law_alpha, orientation, bands,
+    )
+    out = PH.run_photometry(stars, gas, known, key, models, setup, header.boxsize)
+    return out.withColumnRenamed("spectrum", "spectra").withColumnRenamed("spectrum_nodust", "spectra_nodust") if keep_spectra else out.drop("spectrum", "spectrum_nodust")
+
+
+def planned(run: Run) -> set[str]:
+    """Names of the stages that run: those switched on and, of these, the ones whose columns are there and whose needs run.
+
+    Photometry needs a table besides. A stage that is on but cannot run is named in the log.
+    """
+    config = run.config
+    have = set(run.particles.columns)
+    vectors = {"pos": set(G.AXES), "vel": {f"v{c}" for c in G.AXES}}
+    have |= {name for name, parts in vectors.items() if parts <= have}
+    available = {p: have for p, on in config.process_ptypes.items() if on}
+    wanted = [s for s in STAGES if config.stages.get(s, True) and (s != "photometry" or config.photometry_table_path is not None)]
+    wanted = [s for s in wanted if all(config.stages.get(n.name, True) for n in resolve([s]))]
+    names = {s.name for s in runnable(wanted, available)} & set(wanted)
+    for lost in sorted(set(wanted) - names):
+        logger.warning("stage %s is on, but the columns it needs are not there", lost)
+    return names
+
+
 def analyse(run: Run) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(haloes, galaxies, members) in catalogue order. Photometry is not run here; a table for it is an error."""
+    """(haloes, galaxies, members) in catalogue order, with the columns of the stages that :func:`planned` names."""
     config, header = run.config, run.header
-    if config.photometry_table_path is not None and config.stages.get("photometry", True):
-        raise NotImplementedError("photometry_table_path is given, but the analysis does not run photometry; switch the stage off or drop the table")
+    stages = planned(run)
     types = tuple(p for p, on in config.process_ptypes.items() if on)
     particles = cut(M.select_halos(run.particles, "halo_id", config.min_dm_per_halo, types), "particles")
     fields = particles.select("halo_id").distinct().select(F.col("halo_id").alias("id"), F.lit(-1).cast("long").alias("parent"))
@@ -150,13 +195,13 @@ def analyse(run: Run) -> tuple[DataFrame, DataFrame, DataFrame]:
     exclusive = particles.withColumn("group", own)
     members = cut(M.inclusive(exclusive, "group", forest).withColumnRenamed("group", "id"), "inclusive")
     haloes = core_properties(members, ["id"], header, config)
-    if config.stages.get("properties_ptype_specific", True):
+    if "properties_ptype_specific" in stages:
         haloes = haloes.join(type_properties(members, ["id"], config), "id", "left")
     tree = forest.nodes.select("id", F.coalesce("parent", F.lit(-1)).alias("parent_halo_index"), F.col("root").alias("field_halo_index"), (F.col("depth") - 1).alias("depth"))
     haloes = cut(catalogue.finish(haloes.join(tree, "id"), "mass_total", "depth", ("parent_halo_index", "field_halo_index")), "haloes")
     rows = haloes.select("id", "row")
     edges = members.select("id", "ptype", "pidx").join(rows, "id").select(F.lit("haloes").alias("kind"), "row", "ptype", "pidx")
-    if not config.stages.get("find_galaxies", True):
+    if "find_galaxies" not in stages:
         return haloes, haloes.limit(0), edges
     inside = particles.withColumn("group", own).join(galaxies_in(particles, header, config), "pidx").where("galaxy >= 0")
     inside = cut(inside.withColumn("order", F.struct(G.ptype_rank().alias("t"), F.col("pidx").alias("p"))), "galaxies")
@@ -164,12 +209,12 @@ def analyse(run: Run) -> tuple[DataFrame, DataFrame, DataFrame]:
     if config.subhalo_override:
         inside = cut(M.trim_interlopers(inside.withColumn("vote", F.when(F.col("group") >= offset, F.col("group")).otherwise(F.lit(-1))), "galaxy", "vote", votes, config.min_stars_per_galaxy, config.min_gas_per_galaxy).where("galaxy >= 0"), "galaxies")
     galaxies = core_properties(inside, ["galaxy"], header, config, "galaxies")
-    if config.stages.get("properties_ptype_specific", True):
+    if "properties_ptype_specific" in stages:
         galaxies = galaxies.join(type_properties(inside, ["galaxy"], config, "galaxies"), "galaxy", "left")
     parents = inside.groupBy("galaxy").agg(F.min(F.struct("order", "halo_id"))["halo_id"].alias("field")).join(votes, "galaxy", "left")
     parents = parents.select("galaxy", "field", F.when(F.col("winner") >= 0, F.col("winner")).otherwise(F.col("field")).alias("parent"), F.when(F.col("winner") >= 0, F.col("fraction")).otherwise(F.lit(1).cast("float")).alias("parent_membership_fraction"))
     galaxies = galaxies.join(parents, "galaxy")
-    if config.stages.get("properties_local_environment", True):
+    if "properties_local_environment" in stages:
         sites = galaxies.select(F.col("field").alias("halo_id"), "galaxy", *[F.get("com_pos_baryon", F.lit(i)).alias(c) for i, c in enumerate(G.AXES)], F.col("mass_baryon").alias("mass"))
         phases = tuple(p for p in ("HI", "H2") if f"mass_{p}" in particles.columns)
         around = S.aperture_masses(sites, particles, ("halo_id",), "galaxy", {f"{r}kpc": float(r) for r in config.aperture_size}, header.boxsize, phases)
@@ -177,6 +222,9 @@ def analyse(run: Run) -> tuple[DataFrame, DataFrame, DataFrame]:
         if config.distribute_halo_hydrogen:
             free = particles.where(F.col("ptype") == "gas").join(inside.select("pidx"), "pidx", "left_anti")
             galaxies = galaxies.join(S.share_hydrogen(free, sites, ("halo_id",), "galaxy", header.boxsize).drop("halo_id"), "galaxy", "left")
+    if "photometry" in stages:
+        galaxies = cut(galaxies, "galaxies")
+        galaxies = galaxies.join(photometry(inside, galaxies, header, config), "galaxy", "left")
     for pointer, source in (("field_halo_index", "field"), ("parent_halo_index", "parent")):
         galaxies = galaxies.join(rows.select(F.col("id").alias(source), F.col("row").alias(pointer)), source, "left").drop(source)
     galaxies = cut(catalogue.finish(galaxies.withColumnRenamed("galaxy", "id"), "mass_baryon"), "galaxies")
@@ -189,5 +237,6 @@ def analyse(run: Run) -> tuple[DataFrame, DataFrame, DataFrame]:
 def analyse_to(run: Run, path: str, overwrite: bool = False) -> None:
     """Runs the analysis and writes the catalogue."""
     haloes, galaxies, members = analyse(run)
-    lists = fill_lists(tuple(run.config.radial_quantiles), run.config.virial_factors, run.config.aperture_size)
-    catalogue.write(path, haloes, galaxies, members, run.header.row(), run.config.to_json(), overwrite, lists)
+    bands = tuple(c.removeprefix("mag_abs_nodust_") for c in galaxies.columns if c.startswith("mag_abs_nodust_"))
+    lists = fill_lists(tuple(run.config.radial_quantiles), run.config.virial_factors, run.config.aperture_size, bands)
+    catalogue.write(path, haloes, galaxies, members, run.header.row(), run.config.to_json(), overwrite, lists, "zstd" if run.config.compress_catalogue else "none")

@@ -598,19 +598,23 @@ def local_densities(spark, sf_dir):
     return S.local_densities(rows, {"2kpc": 2.0}, BOX, ("run_id",)).select("pidx", (F.round("mass_density_2kpc", 8) + 0.0).alias("mass_density_2kpc"), (F.round("number_density_2kpc", 8) + 0.0).alias("number_density_2kpc"))
 
 
-_KERNEL = [float(v) for v in D.kernel_table(100)]
+_APART = "(a.{0}-b.{0}) - 500.0*round((a.{0}-b.{0})/500.0)"
+_KERNEL_SQL = """kz AS (SELECT i, j, sqrt(power(i/100.0, 2) + power(j/100.0, 2)) AS q FROM range(0, 101) t(i), range(0, 101) u(j)),
+kw AS (SELECT i, j, 2/pi() * (power(greatest(2 - 2*q, 0), 3) - 4*power(greatest(1 - 2*q, 0), 3)) AS w FROM kz),
+kt AS (SELECT a.i, 2*sum(CASE WHEN a.j/100.0 < sqrt(greatest(0, 1 - power(a.i/100.0, 2))) THEN 0.5/100*(a.w + b.w) ELSE 0 END) AS k FROM kw a JOIN kw b ON b.i = a.i AND b.j = a.j + 1 GROUP BY a.i)"""
 
 
 @query(
     "metal_columns",
-    _BASE + f""", kt AS (SELECT {_KERNEL} AS k), s AS (SELECT run_id, haloid, pidx, x, y, z FROM m WHERE ptype = 'star'), g AS (SELECT run_id, haloid, x, y, z, h, mass * metallicity AS zm FROM m WHERE ptype = 'gas' AND h > 0 AND metallicity IS NOT NULL),
-p AS (SELECT a.pidx, b.zm / (b.h*b.h) * (SELECT k FROM kt)[CAST(floor(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) / b.h * 100) AS INTEGER) + 1] AS c FROM s a JOIN g b ON a.run_id = b.run_id AND a.haloid = b.haloid AND b.z <= a.z AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) < b.h*b.h)
+    _BASE + f""", {_KERNEL_SQL}, s AS (SELECT run_id, haloid, pidx, x, y, z FROM m WHERE ptype = 'star'), g AS (SELECT run_id, haloid, x, y, z, h, mass * metallicity AS zm FROM m WHERE ptype = 'gas' AND h > 0 AND metallicity IS NOT NULL),
+d AS (SELECT a.pidx, b.zm, b.h, sqrt(power({_APART.format("x")}, 2) + power({_APART.format("y")}, 2)) AS r FROM s a JOIN g b ON a.run_id = b.run_id AND a.haloid = b.haloid AND {_APART.format("z")} >= 0),
+p AS (SELECT d.pidx, zm/(h*h)*k AS c FROM d JOIN kt ON kt.i = CAST(floor(r/h*100) AS BIGINT) WHERE r < h)
 SELECT s.pidx, round(coalesce(sum(c), 0) * 1e6, 3) + 0.0 AS column_density FROM s LEFT JOIN p USING (pidx) GROUP BY s.pidx""",
 )
 def metal_columns(spark, sf_dir):
     rows = cut(members(spark, sf_dir), "members")
     gas = rows.where("ptype = 'gas'").withColumnRenamed("smoothing_length", "h")
-    out = S.metal_columns(rows.where("ptype = 'star'"), gas, tuple(KEYS), _KERNEL, BOX)
+    out = S.metal_columns(rows.where("ptype = 'star'"), gas, tuple(KEYS), list(D.kernel_table(100)), BOX)
     return out.select("pidx", (F.round(F.col("column") * 1e6, 3) + 0.0).alias("column_density"))
 
 
@@ -691,7 +695,7 @@ def photometry(spark, sf_dir):
     rows = cut(members(spark, sf_dir).withColumn("galaxy", F.col("run_id") * 1_000_000 + F.col("haloid")), "members")
     stars = rows.where("ptype = 'star' and age > 0 and metallicity > 0").select("galaxy", "pidx", "x", "y", "z", F.log10(F.col("age") * 1e9).alias("log_age"), F.log10("metallicity").alias("log_z"), (F.col("mass") * 1e10).alias("mass"), F.col("vz").alias("v_los"))
     gas = rows.where("ptype = 'gas'").select("galaxy", "x", "y", "z", F.col("smoothing_length").alias("h"), (F.col("mass") * 1e10).alias("mass"), "metallicity")
-    galaxies = PH.galaxy_quantities(rows.groupBy("galaxy").agg(F.sum("sfr").alias("sfr"), (F.sum(F.when(F.col("ptype") == "star", F.col("mass"))) * 1e10).alias("mass_star"), F.avg("metallicity").alias("metallicity")))
+    galaxies = PH.galaxy_quantities(rows.groupBy("galaxy").agg(F.sum("sfr").alias("sfr"), (F.sum(F.when(F.col("ptype") == "star", F.col("mass"))) * 1e10).alias("mass_star"), P.guarded_divide(F.sum(F.col("metallicity") * F.col("sfr")), F.sum("sfr")).alias("metallicity_gas_sfr_weighted")))
     out = PH.run_photometry(stars, gas, galaxies, "galaxy", models, config, BOX)
     return out.drop("spectrum", "spectrum_nodust")
 

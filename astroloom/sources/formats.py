@@ -131,6 +131,13 @@ class Snapshot:
         group = next(g for g, p in PTYPES.items() if p == ptype)
         return self.spark.read.parquet(f"{self.path}/{group}.parquet")
 
+    def positions(self, ptype: str) -> DataFrame:
+        """(particle_id, position): the places of a type's rows in the snapshot's files, from 0."""
+        from astroloom.sources.halo_sources import file_places
+
+        name = self.format.columns["particle_id"]
+        return file_places(self.table(ptype), name, "position").select(F.col(name).cast("long").alias("particle_id"), "position")
+
     def factor(self, column: str) -> float:
         return self.unit_factors.get(column, 1.0 if self.format.swift else P.gadget_unit_factor(column, self.header.h, self.header.scale_factor))
 

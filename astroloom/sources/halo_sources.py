@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from astroloom.operators.hierarchy import resolve_forest
 from astroloom.operators.membership import deepest, expand_runs, interval_lookup, number_rows, rekey
+from astroloom.tables import cut
 
 SOURCES = ("SNAPSHOT", "FOF", "SNAP_OR_FOF", "AHF", "HBT-HERONS", "SUBFIND")
 
@@ -22,12 +23,32 @@ def choose_source(name: str, types_with_ids: dict[str, bool]) -> str:
     return name
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, parts): the lines of a text that are no comments, with a key that orders them as the file does."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    lines = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    # rows of a block come in order within their task, whatever order tasks take blocks in
+    return lines.select(F.struct("f", "b", "i").alias("line"), F.split(F.trim("value"), r"\s+").alias("parts"))
+
+
+def _number(place: int) -> F.Column:
+    return F.get("parts", F.lit(place)).try_cast("long")
+
+
 def ahf_halos(spark: SparkSession, path: str) -> DataFrame:
     """(id, host, n) from the halo text: tab-separated, one header line, columns 0, 1 and 4; host 0 is a field halo."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    part = F.split("value", r"\s+")
-    cast = lambda i: F.get(part, F.lit(i)).try_cast("long")
-    return lines.select(cast(0).alias("id"), cast(1).alias("host"), cast(4).alias("n")).where("id is not null")
+    return _lines(spark, path).select(_number(0).alias("id"), _number(1).alias("host"), _number(4).alias("n")).where("id is not null")
+
+
+def ahf_source(spark: SparkSession, halos_path: str, particles_path: str) -> tuple[DataFrame, DataFrame]:
+    """(memberships (pid, halo), halos (id, host)) from both texts. Halos are numbered from 1 in the order of the file, since their own ids
+    are too large to be used as numbers; host 0 is a field halo, and so is one whose host the file does not have."""
+    rows = _lines(spark, halos_path).select("line", _number(0).alias("id"), _number(1).alias("host")).where("id is not null")
+    rows = cut(number_rows(rows, [F.asc("line")], "row").select((F.col("row") + 1).alias("number"), "id", "host"), "halos")
+    hosts = rows.select(F.col("id").alias("host"), F.col("number").alias("host_number"))
+    halos = rows.join(hosts, "host", "left").select(F.col("number").alias("id"), F.coalesce("host_number", F.lit(0)).alias("host"))
+    pairs = _lines(spark, particles_path).select("line", _number(0).alias("c0"), _number(1).alias("c1")).where("c0 is not null and c1 is not null")
+    return ahf_runs(pairs).select("pid", (F.col("halo_row") + 1).alias("halo")), halos
 
 
 def ahf_runs(pairs: DataFrame, order: str = "line") -> DataFrame:
@@ -77,6 +98,59 @@ def match_offsets(particles: DataFrame, listed: DataFrame, subhalos: DataFrame)
     return out.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("field_halo", "sub_halo")})
 
 
+def herons_source(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(listed (place, pid), subhalos) of a catalogue folder with the tables ``Subhalos`` and ``Particles`` under their own column names.
+
+    Particles come in the order of the rows of their table. A catalogue without particles is a FileNotFoundError.
+    """
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{path}/Particles.parquet")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        raise FileNotFoundError(f"{path} has no particles")
+    subs = spark.read.parquet(f"{path}/Subhalos.parquet").select(
+        F.col("TrackId").cast("long").alias("track_id"), F.col("HostHaloId").cast("long").alias("host_halo"), F.col("NestedParentTrackId").cast("long").alias("parent_track"),
+        F.col("Depth").cast("int").alias("depth"), F.col("Nbound").cast("long").alias("n_bound"), F.col("ParticleOffset").cast("long").alias("offset"),
+    )
+    return file_places(spark.read.parquet(f"{path}/Particles.parquet"), "ParticleIDs", "place").select("place", F.col("ParticleIDs").cast("long").alias("pid")), subs
+
+
+def file_places(df: DataFrame, column: str, name: str) -> DataFrame:
+    """(column, name): a Parquet table's column with the place of its row in the files, taken in order of their names."""
+    rows = df.select(column, F.struct(F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i")).alias("__at"))
+    return number_rows(rows, [F.asc("__at")], name).select(column, name)
+
+
+def subfind_source(spark: SparkSession, path: str, codes: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """(placed (ptype, position, group, sub), parents (sub, parent, group)) of a catalogue folder with the tables ``Group`` and ``Subhalo``.
+
+    Rows of both tables are numbered as they lie in the files. ``codes`` are the places of the particle types in the length arrays.
+    """
+    groups = number_rows(spark.read.parquet(f"{path}/Group.parquet").select("*", F.struct("_metadata.file_name", "_metadata.row_index").alias("__at")), [F.asc("__at")], "group")
+    groups = cut(groups.select("group", F.col("GroupFirstSub").cast("long").alias("first_sub"), F.col("GroupLenType").alias("lengths")), "groups")
+    subs = number_rows(spark.read.parquet(f"{path}/Subhalo.parquet").select("*", F.struct("_metadata.file_name", "_metadata.row_index").alias("__at")), [F.asc("__at")], "sub")
+    subs = cut(subs.select("sub", F.col("SubhaloGrNr").cast("long").alias("group"), F.col("SubhaloParent").cast("long").alias("local_parent"), F.col("SubhaloLenType").alias("lengths")), "subs")
+    kinds = F.explode(F.array(*[F.struct(F.lit(p).alias("ptype"), F.get("lengths", F.lit(c)).cast("long").alias("length")) for p, c in codes.items()]))
+    long = lambda df, *keys: df.select(*keys, kinds.alias("k")).select(*keys, "k.ptype", "k.length")
+    placed = subfind_membership(long(groups, "group"), long(subs, "group", "sub"))
+    return placed, subfind_parents(subs, groups).join(subs.select("sub", "group"), "sub")
+
+
+def nested_subhaloes(halos: DataFrame) -> DataFrame:
+    """(id, parent, host) of the halos (id, host) that lie in another: parent -1 directly below the field halo, host the field halo."""
+    nodes = resolve_forest(halos, "id", "host", 0, tour=False).nodes.where("depth > 1")
+    return nodes.select("id", F.when(F.col("parent") == F.col("root"), F.lit(-1)).otherwise(F.col("parent")).alias("parent"), F.col("root").alias("host"))
+
+
+def track_subhaloes(subhalos: DataFrame, matched: DataFrame) -> DataFrame:
+    """(id, parent, host) of tracks below a field halo, hosts numbered as in ``matched`` (field_halo, sub_halo)."""
+    subs = subhalos.where("depth > 0 and host_halo >= 0")
+    fields = matched.where("sub_halo >= 0").groupBy(F.col("sub_halo").alias("track_id")).agg(F.min("field_halo").alias("host"))
+    hosts = subs.join(fields, "track_id").groupBy("host_halo").agg(F.min("host").alias("host"))
+    known = subs.select(F.col("track_id").alias("parent_track"), F.lit(True).alias("below"))
+    out = subs.join(hosts, "host_halo").join(known, "parent_track", "left")
+    return out.select(F.col("track_id").alias("id"), F.when(F.col("below"), F.col("parent_track")).otherwise(F.lit(-1)).alias("parent"), "host")
+
+
 def subfind_parents(subhalos: DataFrame, groups: DataFrame) -> DataFrame:
     """(sub, parent): parents as global subhalo numbers from places within a group.
 

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,10 +179,11 @@ def test_command_line_with_built_in_finder(spark, tmp_path, monkeypatch):
 
     synthetic.write_snapshot(spark, f"{tmp_path}/snap", "TNG")
     (tmp_path / "run.yaml").write_text(
-        f"input:\n  snapshot_path: {tmp_path}/snap\n  output_dir: {tmp_path}/cat\n  simulation_type: TNG\n  halo_id_source: FOF\nset:\n  min_dm_per_halo: 10\n  halo_b: 0.02\n  min_stars_per_galaxy: 2\n  velocity_factor: 5.0\n  gas_criterion: DENSE_ONLY\n  nH_lim: 1.0e-9\n"
+        f"input:\n  snapshot_path: {tmp_path}/snap\n  output_dir: {tmp_path}/cat\n  simulation_type: TNG\n  halo_id_source: FOF\n  write_halo_ids: true\n  min_dm_per_halo_to_store: 5\nset:\n  min_dm_per_halo: 10\n  halo_b: 0.02\n  min_stars_per_galaxy: 2\n  velocity_factor: 5.0\n  gas_criterion: DENSE_ONLY\n  nH_lim: 1.0e-9\n"
     )
     cli.main(["analyse", str(tmp_path / "run.yaml")])
     cat = catalogue.Catalogue(spark, f"{tmp_path}/cat")
+    assert spark.read.parquet(f"{tmp_path}/snap/HaloIds/ids.parquet").where("halo_id > 0").select("ptype").distinct().count() > 1
     assert cat.haloes.df.count() == 3 and cat.header["redshift"] == pytest.approx(3.0)
     cli.main(["lightcone", f"{tmp_path}/cat", "--output", f"{tmp_path}/cone", "--area", "1", "--z-max", "0.01", "--seed", "1"])
     assert Lightcone(spark, f"{tmp_path}/cone").get("ra", "comoving_distance", a_exponents={"comoving_distance": 1}).columns == ["ra", "comoving_distance"]
@@ -190,28 +192,98 @@ def test_command_line_with_built_in_finder(spark, tmp_path, monkeypatch):
     assert catalogue.Catalogue(spark, f"{tmp_path}/small").haloes.df.count() == 3
 
 
-def test_analysis_gives_hydrogen_apertures_and_refuses_a_photometry_table(spark, tmp_path):
+def test_analysis_gives_hydrogen_apertures_and_magnitudes(spark, tmp_path):
+    from astroloom.functions import dust
+    from astroloom.operators.photometry import Band, StellarModels
+    from astroloom.sources import photometry_tables
+
+    wave = np.linspace(1000.0, 9000.0, 41)
+    models = StellarModels(np.array([6.0, 8, 10.2]), np.array([-4.0, -2]), wave, np.ones((2, 3, 41)) * np.array([3.0, 2, 1])[None, :, None], np.ones((2, 3)))
+    bands = [Band("v", np.exp(-(((wave - 5500) / 500) ** 2)), 5500.0), Band("sdss_r", np.exp(-(((wave - 6200) / 500) ** 2)), 6200.0)]
+    table = f"{tmp_path}/table"
+    photometry_tables.write_table(spark, table, models, bands)
+    read, found = photometry_tables.read_table(spark, table, ("sdss_",))
+    assert np.array_equal(read.spectra, models.spectra) and [b.name for b in found] == ["v", "sdss_r"]
+    assert [r["name"] for r in photometry_tables.filters(spark, table).orderBy("effective").collect()] == ["v", "sdss_r"]
+    with pytest.raises(ValueError):
+        photometry_tables.read_table(spark, table, ("zz",))
     rows = synthetic.particles(spark, {"gas": 150, "dm": 150, "star": 60, "bh": 3}).withColumn("sub_id", F.lit(-1))
     head = Header(500.0, 0.68, 0.25, 3.0, Cosmology(0.68, 0.3), 120, 300)
     more = dict(min_dm_per_halo=10, min_stars_per_galaxy=5, b=0.02, velocity_factor=3.0, gas_criterion="DENSE_ONLY", nH_lim=1e-6)
-    with pytest.raises(NotImplementedError):
-        pipeline.analyse(Run(rows, head, config(tmp_path, photometry_table_path="t", **more)))
-    stages_on = {"properties_ptype_specific": False, "photometry": False}
-    _, galaxies, _ = pipeline.analyse(Run(rows, head, config(tmp_path, stages=stages_on, **more)))
-    found = galaxies.select("mass_gas_30kpc", "mass_HI_30kpc", "mass_H2_30kpc").collect()
-    assert found and all(0 <= r[f"mass_{p}_30kpc"] <= r["mass_gas_30kpc"] * 1.0001 for r in found for p in ("HI", "H2")) and any(r["mass_HI_30kpc"] > 0 for r in found)
+    setup = config(tmp_path, photometry_table_path=table, bands=("sdss_",), extinction_law="CALZETTI", interpolation_bins=100, **more)
+    analyse_to(Run(rows, head, setup), f"file://{tmp_path}/cat")
+    cat = catalogue.Catalogue(spark, f"file://{tmp_path}/cat")
+    galaxies = cat.galaxies.df.collect()
+    assert galaxies and cat.galaxies.units("mag_abs_v") == "mag"
+    for g in galaxies:
+        assert 0 <= g["mass_HI_30kpc"] <= g["mass_gas_30kpc"] * 1.0001 and g["mag_abs_v"] >= g["mag_abs_nodust_v"] and g["luminosity_fir"] >= 0
+        assert g["mag_app_sdss_r"] > g["mag_abs_sdss_r"] and g["beta_nodust"] == pytest.approx(-2.0, abs=1e-6)
+    members = cat.membership.where("kind = 'galaxies' and ptype = 'star' and row = 0").join(rows, ["ptype", "pidx"]).select("age", "metallicity", "mass").collect()
+    light = sum(r["mass"] * np.interp(math.log10(max(r["age"], 1e-9)) + 9, [6, 8, 10.2], [3, 2, 1]) for r in members)
+    assert galaxies[0]["mag_abs_nodust_v"] == pytest.approx(-2.5 * math.log10(light * 3.828e33 / (4 * math.pi * (3.08567758e19) ** 2)) - 48.6, abs=1e-4)
+    assert dust.mixed_law("POWER_LAW", 11000.0, alpha=2.0) == pytest.approx(0.25)
+    plain = config(tmp_path, stages={"properties_ptype_specific": False}, **more)
+    assert "photometry" not in pipeline.planned(Run(rows, head, plain)) and "properties_local_environment" in pipeline.planned(Run(rows, head, plain))
+    assert "properties_local_environment" not in pipeline.planned(Run(rows, head, config(tmp_path, stages={"find_galaxies": False}, **more)))
+
+
+class Stored:
+    """A snapshot of given ids, for the sources of halo numbers."""
+
+    def __init__(self, spark, order):
+        self.spark, self.order = spark, order
+
+    def available(self, ptype):
+        return {"halo_id"}
+
+    def positions(self, ptype):
+        return self.spark.createDataFrame([(p, i) for i, p in enumerate(self.order)] if ptype == "dm" else [], "particle_id long, position long")
 
 
-@pytest.mark.parametrize("source", ["AHF", "HBT-HERONS", "SUBFIND"])
-def test_sources_that_are_not_wired_are_refused(source, tmp_path):
-    from types import SimpleNamespace
+def assigned(spark, tmp_path, source, ids, order=()):
+    settings = {"snapshot_path": "s", "output_dir": str(tmp_path), "simulation_type": "SWIFT-EAGLE", "halo_catalogue_path": f"{tmp_path}/halos"}
+    particles = spark.createDataFrame([(p, "dm", 7) for p in ids], "pidx long, ptype string, halo_id long")
+    out, subs = cli.with_haloes(particles, Stored(spark, order), RunConfig(halo_id_source=source, **settings))
+    return {r["pidx"]: (r["halo_id"], r["sub_id"]) for r in out.collect()}, {tuple(r) for r in subs.select("id", "parent", "host").collect()}
 
-    from astroloom.plans import cli
 
-    snapshot = SimpleNamespace(available=lambda p: {"halo_id"})
+def test_run_takes_ahf_halos(spark, tmp_path):
+    big = 6_000_000_000_000_000_000
+    (tmp_path / "halos_halos").write_text(f"#ID\thost\ta\tb\tn\n{big}\t0\tx\ty\t5\n{big + 1}\t{big}\tx\ty\t3\n{big + 2}\t{big + 1}\tx\ty\t2\n{big + 3}\t0\tx\ty\t2\n")
+    (tmp_path / "halos_particles").write_text(f"4\n5\t{big}\n100\t1\n101\t0\n102\t4\n103\t1\n2\t{big + 1}\n101\t0\n103\t1\n1\t{big + 2}\n103\t1\n1\t{big + 3}\n200\t5\n")
+    got, subs = assigned(spark, tmp_path, "AHF", (100, 101, 102, 103, 200, 300))
+    assert got == {100: (1, -1), 101: (1, 2), 102: (1, -1), 103: (1, 3), 200: (4, -1), 300: (-1, -1)}
+    assert subs == {(2, -1, 1), (3, 2, 1)}
+
+
+def test_run_takes_herons_tracks(spark, tmp_path):
+    tracks = [(7, 3, -1, 0, 2, 0), (8, 3, 7, 1, 1, 2), (9, 3, 8, 2, 1, 3), (10, -1, -1, 1, 2, 4)]
+    spark.createDataFrame(tracks, "TrackId long, HostHaloId long, NestedParentTrackId long, Depth int, Nbound long, ParticleOffset long").write.parquet(f"{tmp_path}/halos/Subhalos.parquet")
+    with pytest.raises(FileNotFoundError):
+        assigned(spark, tmp_path, "HBT-HERONS", (500,))
+    spark.createDataFrame([(500 + i,) for i in range(6)], "ParticleIDs long").coalesce(1).write.parquet(f"{tmp_path}/halos/Particles.parquet")
+    got, subs = assigned(spark, tmp_path, "HBT-HERONS", tuple(range(500, 507)))
+    assert got == {500: (0, -1), 501: (0, -1), 502: (0, 8), 503: (0, 9), 504: (1, -1), 505: (1, -1), 506: (-1, -1)}
+    assert subs == {(8, -1, 0), (9, 8, 0)}
+
+
+def test_run_takes_subfind_groups(spark, tmp_path):
+    groups = [([0, n, 0, 0, 0, 0], first, subs) for n, first, subs in ((10, 0, 3), (6, 3, 2), (3, 5, 1), (1, -1, 0))]
+    spark.createDataFrame(groups, "GroupLenType array<int>, GroupFirstSub int, GroupNsubs int").coalesce(1).write.parquet(f"{tmp_path}/halos/Group.parquet")
+    subs = [([0, n, 0, 0, 0, 0], g, p) for n, g, p in ((4, 0, 0), (2, 0, 0), (2, 0, 1), (3, 1, 0), (1, 1, 0), (2, 2, 0))]
+    spark.createDataFrame(subs, "SubhaloLenType array<int>, SubhaloGrNr int, SubhaloParent int").coalesce(1).write.parquet(f"{tmp_path}/halos/Subhalo.parquet")
+    ids = tuple(1000 - i for i in range(22))
+    got, parents = assigned(spark, tmp_path, "SUBFIND", ids, ids)
+    want = [(0, s) for s in (0, 0, 0, 0, 1, 1, 2, 2, -1, -1)] + [(1, s) for s in (3, 3, 3, 4, -1, -1)] + [(2, 5), (2, 5), (2, -1), (3, -1), (-1, -1), (-1, -1)]
+    assert [got[i] for i in ids] == want
+    assert parents == {(0, -1, 0), (1, -1, 0), (2, 1, 0), (3, -1, 1), (4, -1, 1), (5, -1, 2)}
+
+
+def test_sources_and_paths_must_fit(tmp_path):
+    snapshot = Stored(None, ())
     settings = {"snapshot_path": "s", "output_dir": str(tmp_path), "simulation_type": "SWIFT-EAGLE"}
-    with pytest.raises(NotImplementedError):
-        cli.with_haloes("particles", snapshot, RunConfig(halo_id_source=source, **settings))
-    with pytest.raises(NotImplementedError):
+    with pytest.raises(ValueError):
+        cli.with_haloes("particles", snapshot, RunConfig(halo_id_source="AHF", **settings))
+    with pytest.raises(ValueError):
         cli.with_haloes("particles", snapshot, RunConfig(halo_id_source="SNAPSHOT", halo_catalogue_path="c", **settings))
-    assert cli.with_haloes("particles", snapshot, RunConfig(halo_id_source="SNAPSHOT", **settings)) == "particles"
+    assert cli.with_haloes("particles", snapshot, RunConfig(halo_id_source="SNAPSHOT", **settings)) == ("particles", None)
