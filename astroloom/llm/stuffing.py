@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from array import array
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,20 +31,20 @@ SHARE = 0.5
 PRIOR_BLOCKS = 50
 
 _LINK = re.compile(r"(?:https?:)?//[^\s<>()\"']+|www\.[^\s<>()\"']+|href=\"[^\"]*\"")
-_NUMBER = re.compile(r"(?:\b[A-Z]{1,4}-?)?\d+(?:[.,]\d+)*")
-_END = re.compile(r"(?<=[^\W_])[)\]%\"']?[.!?](?=\s|$)|[。！？；]")
+_NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
+_CODE = re.compile(r"[A-Z]{1,4}-?0")
+_STOP = re.compile(r"[.!?。！？；]")
 _HAN = re.compile(r"[一-鿿]")
 _TOKEN = re.compile(r"[一-鿿]|[^\W_一-鿿]+|[^\w\s]|_")
 _NUMBERED = re.compile(r"\W*(?:[^\W\d]+\s*)?\W{0,2}0\s*[.):\]、,]")
 # How patent claims name other claims.
-_CLAIM = re.compile(r"\bclaims?\b|\banspr(?:u|ü)ch|\brevendication|权利要求")
+_CLAIM = ("claim", "anspruch", "ansprüch", "revendication", "权利要求")
 # Frequent function words by language.
 _FREQUENT = {
     "en": frozenset("the of and a an to in is that by for with as on this each every at from or".split()),
     "de": frozenset("der die das und von mit ist ein eine einer zu den dem des nach bei aus für auf im wird".split()),
     "fr": frozenset("le la les de des du et un une est dans pour par ce cette notre chaque tout sur avec".split()),
 }
-_CODES = [bytes([128 + k]) for k in range(120)]
 
 
 def chinese(text: str) -> bool:
@@ -68,20 +69,28 @@ def size_in_words(text: str) -> int:
 def packed_size(tokens: list[str]) -> int:
     """Compressed bytes of a block.
 
-    The compressor replaces a word that was met before in the block by its number, one byte for the first 120 words,
-    and deflates the result; so words that are repeated in any order cost little even in a short block.
+    The compressor writes each different word once and the block as the words' numbers, 0 for one that is new, and deflates
+    both; so words that are repeated in any order cost little even in a short block.
     """
     seen: dict[str, int] = {}
-    out = []
-    for w in tokens:
-        k = seen.get(w)
-        if k is None:
-            seen[w] = len(seen)
-            out.append(w.encode("utf-8", "ignore") + b" ")
-        else:
-            out.append(_CODES[k] if k < 120 else b"\xff%c%c" % (k >> 8 & 255, k & 255))
+    codes = [0 if (k := seen.setdefault(w, n := len(seen))) == n else k + 1 for w in tokens]
+    numbers = bytes(codes) if len(seen) < 256 else array("H" if len(seen) < 65535 else "L", codes).tobytes()
     press = zlib.compressobj(6, zlib.DEFLATED, -12, 5)
-    return len(press.compress(b"".join(out))) + len(press.flush())
+    return len(press.compress(" ".join(seen).encode("utf-8", "ignore") + numbers)) + len(press.flush())
+
+
+def sentence_ends(text: str) -> list[int]:
+    """Places behind sentence ends: a Chinese one anywhere, others behind a word (and a closing mark) and before a blank."""
+    out, last = [], len(text) - 1
+    for m in _STOP.finditer(text):
+        at = m.start()
+        if text[at] in "。！？；":
+            out.append(at + 1)
+        elif at and (at == last or text[at + 1].isspace()):
+            before = text[at - 2] if at > 1 and text[at - 1] in ")]%\"'" else text[at - 1]
+            if before.isalnum():
+                out.append(at + 1)
+    return out
 
 
 def plain(text: str) -> str:
@@ -104,7 +113,7 @@ def blocks(text: str) -> list[tuple[str, bool, int, int, int, int]]:
     compression decides. A Chinese block is told by its own characters, the language of the others from the whole
     text, so the parts of a mixed text count each in its own way.
     """
-    text = _NUMBER.sub("0", plain(text)).lower()
+    text = _CODE.sub("0", _NUMBER.sub("0", plain(text))).lower()
     lang = language(text)
     out: list = []
     short: list = []
@@ -114,11 +123,11 @@ def blocks(text: str) -> list[tuple[str, bool, int, int, int, int]]:
             out.append(("zh" if chinese(content) else lang, claims, n, ends, len(content.encode("utf-8", "ignore")), packed_size(tokens)))
 
     at = 0
-    for to in [*(m.end() for m in _END.finditer(text)), len(text)]:
+    for to in [*sentence_ends(text), len(text)]:
         piece, closed = text[at:to], to < len(text)
         at = to
         n = size_in_words(piece)
-        claims = _CLAIM.search(piece) is not None or _NUMBERED.match(piece) is not None
+        claims = any(c in piece for c in _CLAIM) or _NUMBERED.match(piece) is not None
         if n >= STRETCH and (not closed or n >= LONG):
             step = -(-len(piece) // max(1, round(n / BLOCK)))
             for i in range(0, len(piece), step):
