@@ -21,8 +21,9 @@ from astroloom.tables import cut
 
 #: Rows on which the index is fitted at most (it indexes every row).
 FIT_ROWS = 16384
-#: Rows that a part should hold, and the largest number of parts of one network.
-PART_ROWS = 1000
+#: Rows that a part should hold, and the least and largest number of parts of one network (fewer only for less than 16 rows a part).
+PART_ROWS = 2000
+MIN_PARTS = 8
 MAX_PARTS = 256
 #: A part of more rows is divided again, by a network fitted on about so many of its rows.
 SPLIT_ROWS = 8000
@@ -237,7 +238,7 @@ def nearest(rows: DataFrame, ident: str, space: list[str], vector: list[Column],
     total = points.count()
     classes = max(1, -(-total // fit_rows))
     sample = points.where(F.pmod(F.xxhash64("id"), F.lit(classes)) == 0).orderBy(F.xxhash64("id")).limit(fit_rows).select("id", *dims).toPandas().sort_values("id")
-    parts = max(1, min(MAX_PARTS, -(-total // part_rows), len(sample) // 16))
+    parts = max(1, min(max(MIN_PARTS, min(MAX_PARTS, -(-total // part_rows))), len(sample) // 16))
     router = fit_router(sample[dims].to_numpy(dtype=float).reshape(-1, len(dims)), parts) if len(sample) else fit_router(np.zeros((1, len(dims))), 1)
     shared = points.sparkSession.sparkContext.broadcast(router)
 
