@@ -27,7 +27,7 @@ EXTREME = 0.82
 REPEATED = 0.85
 #: Share of a text's words in stuffed blocks from which the text is reported.
 SHARE = 0.5
-#: The usual ratio of a class is drawn towards that of all classes of its length as if so many blocks had the latter.
+#: The usual ratio of a class is drawn towards that of all languages as if so many blocks had the latter.
 PRIOR_BLOCKS = 50
 
 _LINK = re.compile(r"(?:https?:)?//[^\s<>()\"']+|www\.[^\s<>()\"']+|href=\"[^\"]*\"")
@@ -184,8 +184,8 @@ def find_stuffed(docs: DataFrame, doc_id: str, text: str, redundant: float = RED
     median = F.percentile_approx("ratio", 0.5, 1000)
     # one row per language, kind and length class: a few dozen
     usual = prose.groupBy("lang", "claims", "length").agg(median.alias("own"), F.count(F.lit(1)).alias("many"))
-    overall = prose.groupBy("length").agg(median.alias("overall"))
-    rows = rows.join(F.broadcast(usual), ["lang", "claims", "length"], "left").join(F.broadcast(overall), "length", "left")
+    overall = prose.groupBy("claims", "length").agg(median.alias("overall"))
+    rows = rows.join(F.broadcast(usual), ["lang", "claims", "length"], "left").join(F.broadcast(overall), ["claims", "length"], "left")
     many, whole = F.coalesce("many", F.lit(0)), F.coalesce("overall", F.lit(0.5))
     relative = F.col("ratio") * (many + PRIOR_BLOCKS) / (F.coalesce("own", F.lit(0.0)) * many + whole * PRIOR_BLOCKS)
     bare = (F.col("ends") * LONG < F.col("n")) & (F.col("n") >= STRETCH // 2)
