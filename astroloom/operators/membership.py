@@ -96,9 +96,14 @@ def csr(members: DataFrame, group: str, pidx: str = "pidx") -> DataFrame:
     A list is as long as its group, so this is for export of groups that fit one row; use :func:`csr_order` else.
     """
     lists = members.where(F.col(group) >= 0).groupBy(group).agg(F.array_sort(F.collect_list(pidx)).alias("members"), F.count(F.lit(1)).alias("length"))
-    before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = lists.select(group, "length").withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    return lists.join(offsets.drop("length"), group)
+    lists = cut(lists, "lists")
+    rows = number_rows(lists.select(group, "length"), [F.asc(group)], "__row").withColumn("__block", F.floor(F.col("__row") / 65536))
+    inside = Window.partitionBy("__block").orderBy("__row").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("__block").agg(F.sum("length").alias("__n"))
+    ahead = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # one row per 65536 groups
+    sums = sums.select("__block", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead"))
+    offsets = rows.withColumn("__in", F.coalesce(F.sum("length").over(inside), F.lit(0))).join(sums, "__block").select(group, (F.col("__ahead") + F.col("__in")).alias("offset"))
+    return lists.join(offsets, group)
 
 
 def csr_order(members: DataFrame, group: str, pidx: str = "pidx") -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from astroloom.tables import cut, partitions
 
+#: Rows from which a key is heavy whatever its share, and the number of heavy keys up to which that holds.
+LIGHT_ROWS = 20_000_000
+HEAVY_KEYS = 100_000
 #: One row in SAMPLE is looked at for heavy keys.
 SAMPLE = 16
 #: Sampled rows per shuffle partition from which the order points of heavy keys are taken.
@@ -28,12 +31,14 @@ def fair_share(spark: SparkSession) -> float:
 def heavy_keys(rows: DataFrame, keys: list[str], sample_on: str, share: float | None = None, sample: int = SAMPLE) -> DataFrame:
     """Keys that hold more than ``share`` of the sampled rows, with ``weight``, their share. At most 1 / share rows.
 
+    The default share is :func:`fair_share`, or less where that would leave more than LIGHT_ROWS rows of a key to one task.
+
     The sample takes every row whose hash of ``sample_on`` falls into one of ``sample`` classes: the same rows on
     every attempt of a task. It decides only how rows travel, never what comes out. Counting is map-side first.
     """
-    share = share or fair_share(rows.sparkSession)
     picked = rows.where(F.pmod(F.xxhash64(sample_on), F.lit(sample)) == 0)
     total = max(1, picked.count())
+    share = share or min(fair_share(rows.sparkSession), max(LIGHT_ROWS / (total * sample), 1 / HEAVY_KEYS))
     counts = picked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > total * share)
     return counts.select(*keys, (F.col("__n") / float(total)).alias("weight"))
 

@@ -30,12 +30,12 @@ def _forest(spark: SparkSession, sf_dir: str, tour: bool = True):
 
 
 def p4_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every subhalo with kind, top level and its host, real depth, path, descendant count and tour interval."""
-    rows, forest = _forest(spark, sf_dir)
+    """Every subhalo with kind, top level and its host, real depth, path and descendant count."""
+    rows, forest = _forest(spark, sf_dir, tour=False)
     hosts = rows.select(F.col("sub_id").alias("root"), F.col("host_field_id").alias("root_host"))
     return forest.nodes.join(hosts, "root", "left").join(paths(forest), "id", "left").select(
         F.col("id").alias("sub_id"), "kind", F.col("root").alias("top_id"), "root_host", F.col("depth").alias("real_depth"),
-        F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), (F.col("size") - 1).alias("n_descendants"), "position",
+        F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), (F.col("size") - 1).alias("n_descendants"),
     )
 
 
@@ -131,6 +131,11 @@ ORACLE: dict[str, str] = {
     "p4_found": _LATEST_SUB + """SELECT sub_id, kind FROM kinds WHERE kind <> 'tree'
 UNION ALL SELECT sub_id, 'depth' FROM kinds WHERE kind = 'tree' AND depth <> real_depth
 UNION ALL SELECT sub_id, 'host' FROM kinds WHERE kind = 'tree' AND host_field_id <> root_host""",
+    "p4_tree": _LATEST_SUB + """, line AS (
+  SELECT sub_id, sub_id AS node FROM kinds WHERE kind IN ('tree', 'orphan') UNION ALL SELECT a.sub_id, a.anc FROM anc a JOIN kinds k ON k.sub_id = a.sub_id WHERE k.kind IN ('tree', 'orphan')
+), paths AS (SELECT l.sub_id, string_agg(CAST(l.node AS VARCHAR), '/' ORDER BY k.real_depth) AS path FROM line l JOIN kinds k ON k.sub_id = l.node GROUP BY l.sub_id)
+SELECT k.sub_id, k.kind, CASE WHEN p.path IS NOT NULL THEN k.root END AS top_id, CASE WHEN p.path IS NOT NULL THEN k.root_host END AS root_host, CASE WHEN p.path IS NOT NULL THEN k.real_depth END AS real_depth,
+  p.path, CASE WHEN p.path IS NOT NULL THEN (SELECT count(*) FROM anc d WHERE d.anc = k.sub_id) END AS n_descendants FROM kinds k LEFT JOIN paths p USING (sub_id)""",
     "p4_descendants": _LATEST_SUB + """SELECT a.anc AS sub_id, a.sub_id AS descendant_id FROM anc a JOIN kinds k ON k.sub_id = a.anc
 WHERE k.kind IN ('tree', 'orphan') AND a.anc % 20 = 0""",
     "p5_found": _LATEST_PARTICLES + """, sums AS (

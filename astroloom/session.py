@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -26,7 +29,9 @@ def build_session(name: str = "astroloom", master: str | None = None, **conf: st
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def local_session(cores: int | None = None, memory: str = "12g", shuffle: int = 8) -> SparkSession:
@@ -40,3 +45,15 @@ def local_session(cores: int | None = None, memory: str = "12g", shuffle: int =
             "spark.driver.host": "127.0.0.1",
         },
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the workers, which need not find it on their own path; once per session."""
+    context = spark.sparkContext
+    if getattr(context, "_astroloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="astroloom-")  # on the driver, which serves it to the workers
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "astroloom"), "zip", root, "astroloom"))
+    context._astroloom_shipped = True
