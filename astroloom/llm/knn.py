@@ -208,7 +208,7 @@ def _divide(rows: DataFrame, routers: DataFrame, key: list[str], dims: list[str]
 
     def order(pdf: pd.DataFrame, net: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf) or not len(net):
-            return pd.DataFrame({c: [] for c in (*columns, "subs")})
+            return pd.DataFrame({**{c: pd.Series(dtype=net[c].dtype if c in net else "int64" if c == "id" else "float64") for c in columns}, "subs": pd.Series(dtype=object)})
         return pdf[columns].assign(subs=list(pickle.loads(net["net"].iloc[0]).order(pdf[dims].to_numpy(), SUB_PROBES)))
 
     group = [*key, "salt"]
