@@ -148,7 +148,10 @@ def fit_router(points: np.ndarray, parts: int, hidden: int = 64, epochs: int = 1
 
 
 def _nearest(k: int, dims: list[str]):
-    """Per block: the k nearest points of each query, itself excepted, ties by the smaller key."""
+    """Per block: the k nearest points of each query, itself excepted, ties by the smaller key.
+
+    Ties are those of the distance: unequal squares may have equal roots, so squares within rounding of the k-th stay too.
+    """
 
     def rank(key: tuple, queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -164,13 +167,14 @@ def _nearest(k: int, dims: list[str]):
                     d += (q[at : at + chunk, j, None] - p[None, :, j]) ** 2
                 d[own[at : at + chunk, None] == ids[None, :]] = np.inf
                 if len(p) > 4 * k:  # all that tie with the k-th stay for the stable order by key
-                    limit = np.partition(d, k - 1, axis=1)[:, k - 1]
+                    limit = np.partition(d, k - 1, axis=1)[:, k - 1] * (1 + 1e-15)
                 else:
                     limit = np.full(len(d), np.finfo(float).max)
                 for i in range(len(d)):
                     near = np.flatnonzero((d[i] <= limit[i]) & np.isfinite(d[i]))
-                    near = near[np.argsort(d[i, near], kind="stable")[:k]]
-                    out.append((np.full(len(near), own[at + i]), ids[near], np.sqrt(d[i, near])))
+                    root = np.sqrt(d[i, near])
+                    first = np.argsort(root, kind="stable")[:k]
+                    out.append((np.full(len(first), own[at + i]), ids[near[first]], root[first]))
         if not out:
             return pd.DataFrame({"id": pd.Series(dtype="int64"), "near": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
         return pd.DataFrame({n: np.concatenate([o[i] for o in out]) for i, n in enumerate(("id", "near", "distance"))})
@@ -199,15 +203,18 @@ def _divide(rows: DataFrame, routers: DataFrame, key: list[str], dims: list[str]
     """``rows`` (key, id, dims) with ``subs``, their probable divisions of the part ``key`` names; [0] for parts of one piece.
 
     A part's network (one row of ``routers``) meets its rows in salted groups of about BLOCK_ROWS, so no part gathers in a task.
+    The salt has one type on both sides: equal numbers of different types hash to different partitions, where rows miss their network.
     """
-    salted = rows.join(routers.select(*key, "salts"), key, "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("salts"))))
+    salted = rows.join(routers.select(*key, "salts"), key, "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")))
     plain = salted.where("salt is null").drop("salts", "salt").withColumn("subs", F.array(F.lit(0)))
     spread = routers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     columns = [*key, "id", *dims]
     fields = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*columns).schema.fields), "subs array<int>"])
 
     def order(pdf: pd.DataFrame, net: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf) or not len(net):
+        if len(pdf) and not len(net):
+            raise ValueError(f"{len(pdf)} rows of a divided part have no network")
+        if not len(pdf):
             return pd.DataFrame({**{c: pd.Series(dtype=net[c].dtype if c in net else "int64" if c == "id" else "float64") for c in columns}, "subs": pd.Series(dtype=object)})
         return pdf[columns].assign(subs=list(pickle.loads(net["net"].iloc[0]).order(pdf[dims].to_numpy(), SUB_PROBES)))
 

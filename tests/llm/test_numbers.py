@@ -1,7 +1,9 @@
 import math
+import pickle
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -109,6 +111,29 @@ def test_nearest_is_exact(vectors, monkeypatch):
     assert run(df, split_rows=150) == want
 
 
+def test_divided_parts_keep_their_rows(spark):
+    net = pickle.dumps(knn.fit_router(np.random.default_rng(1).random((500, 2)), 8, hidden=8))
+    rows = spark.range(5000).selectExpr("1L s0", "cast(id % 9 as int) part", "id", "rand(1) v0", "rand(2) v1")
+    routers = spark.createDataFrame([(1, p, net, p + 1) for p in range(8)], "s0 long, part int, net binary, salts int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several partitions, as with large tables
+    try:
+        got = knn._divide(rows, routers, ["s0", "part"], ["v0", "v1"]).select("part", "id", F.size("subs").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r["id"] for r in got) == list(range(5000))
+    assert all(r["n"] == (1 if r["part"] == 8 else knn.SUB_PROBES) for r in got)
+
+
+def test_equal_distances_of_unequal_squares():
+    a, b = [1.524560164915884, 0.004212106702221385, 0.8907743881096029], [1.524560164915884, 0.004212106702221385, 0.8907743881096026]
+    square = lambda p: (p[0] * p[0] + p[1] * p[1]) + p[2] * p[2]
+    assert square(b) < square(a) and math.sqrt(square(b)) == math.sqrt(square(a))
+    queries = pd.DataFrame([[0, 0.0, 0.0, 0.0]], columns=["id", "v0", "v1", "v2"])
+    points = pd.DataFrame([[2, *b], [1, *a], *([10 + i, 9.0, 9.0, 9.0] for i in range(9))], columns=["id", "v0", "v1", "v2"])
+    for own in (points, points.head(2)):
+        assert list(knn._nearest(1, ["v0", "v1", "v2"])((), queries, own)["near"]) == [1]
+
+
 def test_probable_parts_have_recall(vectors):
     rows, df = vectors
     want = brute(rows, [i for i in rows if i % 20 == 0], 5)
