@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ SUB_ROWS = 4096
 #: Probable parts that a query is sent to at first, and probable divisions in each of them.
 PROBES = 4
 SUB_PROBES = 2
+#: In approximate mode a query goes on to less probable parts until those visited hold so many rows of its own space for each wanted neighbour.
+SEEN_ROWS = 32
 #: Rows of a part, and queries of a part, that meet in one task at most.
 BLOCK_ROWS = 8192
 #: Boxes (a few hundred bytes each) that are broadcast at most.
@@ -223,6 +226,34 @@ def _divide(rows: DataFrame, routers: DataFrame, key: list[str], dims: list[str]
     return plain.select(*columns, "subs").unionByName(left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(order, fields))
 
 
+def _further(queries: DataFrame, sizes: DataFrame, spaces: list[str], dims: list[str], router: Broadcast, least: int) -> DataFrame:
+    """``queries`` with more ``parts``, in order of probability, where the first hold less than ``least`` rows of the query's space.
+
+    ``sizes`` counts the rows of each space and part. Parts without rows of the space are passed over, and each further
+    part holds some, so no query gets more than ``least`` of them.
+    """
+    held = sizes.groupBy(*spaces).agg(F.collect_list(F.struct("part", "n")).alias("h")).select(*spaces, F.col("h.part").alias("at"), F.col("h.n").alias("rows"))
+    known = queries.join(_small(held, sizes), spaces).withColumn("held", F.map_from_arrays("at", "rows"))
+    add = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda a, n: a + n)
+    seen = add(F.transform("parts", lambda p: F.coalesce(F.try_element_at("held", p), F.lit(0).cast("long"))))
+    known = known.withColumn("few", (seen < least) & (seen < add(F.col("rows"))))
+    columns = queries.columns
+
+    def extend(batches):
+        for pdf in batches:
+            if len(pdf):
+                net, parts = router.value, []
+                for order, first, at, rows in zip(net.order(pdf[dims].to_numpy(), net.parts), pdf["parts"], pdf["at"], pdf["rows"]):
+                    own = np.zeros(net.parts, dtype=np.int64)
+                    own[at] = rows
+                    own = own[order]
+                    parts.append(order[(np.arange(len(order)) < len(first)) | ((np.cumsum(own) - own < least) & (own > 0))])
+                yield pdf[columns].assign(parts=parts)
+
+    extended = cut(known.where("few").mapInPandas(extend, queries.schema), "further")
+    return known.where("not few").select(*columns).unionByName(extended)
+
+
 def nearest(rows: DataFrame, ident: str, space: list[str], vector: list[Column], wanted: Column, k: int = 10, probes: int = PROBES, complete: bool = True, fit_rows: int = FIT_ROWS, part_rows: int = PART_ROWS, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """(``id``, ``near``, ``distance``, ``rank``): the ``k`` nearest other rows of every row that meets ``wanted``.
 
@@ -230,7 +261,9 @@ def nearest(rows: DataFrame, ident: str, space: list[str], vector: list[Column],
     components, the distance is Euclidean over them, equal distances go by the smaller identifier. Rows with a
     null identifier, a null space column or a null or non-finite component are neither queries nor answers. A
     space of k rows or fewer gives all that there are; an empty table gives none. Without ``complete`` only the
-    probable parts are visited and a neighbour may be missed (approximate mode).
+    probable parts are visited and a neighbour may be missed (approximate mode). The parts are those of all spaces
+    together, so a small space has few rows in each; its queries then go on to further parts until these hold
+    SEEN_ROWS rows of the space for each of the ``k``, or all of it.
 
     The index is fitted on at most ``fit_rows`` rows (hash sample, collected to the driver: the bound is this
     parameter) and stores every row. Parts of more than ``split_rows`` rows are divided by networks that are fitted where the
@@ -257,10 +290,13 @@ def nearest(rows: DataFrame, ident: str, space: list[str], vector: list[Column],
     fields = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields), "parts array<int>"])
     routed = cut(points.mapInPandas(route, fields), "routed")
     stored = routed.select("id", *spaces, F.element_at("parts", 1).alias("part"), *dims)
+    key = [*spaces, "part"]
+    sizes = cut(stored.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "sizes")
     queries = routed.where("wanted")
+    if not complete:  # else the boxes name all further parts
+        queries = _further(queries, sizes, spaces, dims, shared, SEEN_ROWS * k)
     first = queries.select("id", *spaces, F.explode("parts").alias("part"), *dims)
-    key = [*spaces, "part"]
-    large = cut(stored.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split_rows), "large")
+    large = sizes.where(F.col("n") > split_rows)
     if large.isEmpty():
         stored, first = (side.withColumn("sub", F.lit(0)) for side in (stored, first))
         visited = queries.withColumn("visited", F.transform("parts", lambda p: F.struct(p.alias("part"), F.lit(0).alias("sub"))))
@@ -301,6 +337,6 @@ def nearest(rows: DataFrame, ident: str, space: list[str], vector: list[Column],
     return found
 
 
-def _small(boxes: DataFrame) -> DataFrame:
-    """``boxes`` to be broadcast if they are counted to be few, so a space with most queries needs no exchange; else as they are."""
-    return F.broadcast(boxes) if boxes.count() <= BROADCAST_BOXES else boxes
+def _small(boxes: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """``boxes`` to be broadcast if they (or the rows ``counted`` that they gather) are few, so a space with most queries needs no exchange; else as they are."""
+    return F.broadcast(boxes) if (boxes if counted is None else counted).count() <= BROADCAST_BOXES else boxes

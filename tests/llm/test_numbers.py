@@ -144,6 +144,23 @@ def test_probable_parts_have_recall(vectors):
     assert sum(len(set(got.get(i, [])) & set(w)) for i, w in want.items()) >= 0.9 * sum(map(len, want.values()))
 
 
+def test_small_spaces_have_recall(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    spread = {0: 3000, 1: 15, 2: 25, 3: 60, 4: 104}  # rows of each space, all over the same region
+    rows = {i: (s, tuple(map(float, v))) for i, (s, v) in enumerate((s, v) for s, n in spread.items() for v in rng.normal(0, 10, (n, 4)))}
+    df = spark.createDataFrame([(i, s, *v) for i, (s, v) in rows.items()], "i long, s long, a double, b double, c double, d double").repartition(4)
+    wanted = [i for i, (s, _) in rows.items() if s or i % 20 == 0]
+    want = brute(rows, wanted, 10)
+    for most in (knn.BROADCAST_BOXES, 0):
+        monkeypatch.setattr(knn, "BROADCAST_BOXES", most)
+        got = {}
+        for r in knn.nearest(df, "i", ["s"], [F.col(c) for c in "abcd"], F.col("i").isin(wanted), 10, complete=False).collect():
+            got.setdefault(r["id"], set()).add(r["near"])
+        for s in spread:
+            own = [i for i in wanted if rows[i][0] == s]
+            assert sum(len(got.get(i, set()) & set(want[i])) for i in own) >= 0.9 * sum(len(want[i]) for i in own), s
+
+
 def test_no_vectors(vectors):
     _, df = vectors
     assert run(df.limit(0)) == {}
